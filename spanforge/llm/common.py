@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again: lineage ends there, at less disk than a checkpoint takes."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/spanforge-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def squeezed(text: Column | str) -> Column:
     """The text without white space; null counts as empty."""
     text = F.col(text) if isinstance(text, str) else text

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, substring_dedup
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -20,7 +24,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
