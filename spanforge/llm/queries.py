@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, substring_dedup
+from . import exact_dedup, packing, quality_rules, substring_dedup
 from .common import table
 
 
@@ -23,8 +23,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op6_exact_dedup, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
