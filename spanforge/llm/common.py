@@ -137,7 +137,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [i, j) of a string column with their bytes, about ``most`` bytes at once; one text is never cut."""
     data, offsets = texts_of(column)
     i, n = 0, len(column)
