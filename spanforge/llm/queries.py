@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, packing, quality_rules, substring_dedup, warc
+from . import exact_dedup, html_extract, near_dedup, packing, quality_rules, substring_dedup, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_extraction, op6_exact_dedup, op8_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_extraction, op5_minhash_near_dedup, op6_exact_dedup, op8_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
