@@ -58,11 +58,11 @@ def bucket_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", t
     shapes = docs.select(F.col(doc_id).alias("__id"), _shape_text(text).alias("shapes")).join(trusted, "__id", "left")
     counts = (
         _with_features(shapes.select("shapes", "trusted"), buckets)
-        .select("trusted", F.explode("features").alias("bucket"))
+        .select("trusted", F.explode_outer("features").alias("bucket"))  # explode would push a filter on features below the join
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.count("trusted").alias("n_target"))
     )
     raw, aim = [0] * buckets, [0] * buckets
-    for bucket, n_raw, n_target in counts.collect():
+    for bucket, n_raw, n_target in counts.where("bucket is not null").collect():
         raw[bucket], aim[bucket] = n_raw, n_target
     if not any(aim):
         return [0.0] * buckets
