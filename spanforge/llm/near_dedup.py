@@ -7,11 +7,11 @@ lose its links. Document frequencies come from a count-min sketch of fixed size
 of a cell; its error is a constant share of N, whatever N is.
 
 Texts with equal words are one node. ``BANDS`` x ``ROWS`` consistent weighted samples of each are banded (a pair of
-similarity 0.8 shares no band with a chance of 4e-5). In a bucket, every node is paired with one hub, the least by a hash
-that differs between bands, so buckets make stars, never all pairs, and a group is tied together through many hubs. All
+similarity 0.8 shares no band with a chance of 4e-5). In a bucket, every node is paired with ``HUBS`` hubs, the least by
+as many hashes that differ between bands, so buckets make stars, never all pairs, and a group is tied together through
+dozens of hubs. The first hubs of the first bands come first; of all others only pairs not yet in one class remain. All
 pairs are verified with the exact weighted Jaccard similarity of both whole texts (a pair whose bare shingle sets reach
-the threshold passes too, so that weights lose no link); those of the last bands only where their ends are not yet in
-one class. Classes are connected components, found in Spark.
+the threshold passes too, so that weights lose no link). Classes are connected components, found in Spark.
 
 Edge cases: null text is empty; texts without words are alike to nothing; rows with a null id stand alone, with a null
 class; rows that repeat an id share its class; an empty table gives an empty result; other columns are not looked at.
@@ -30,7 +30,7 @@ from .common import Windows, Words, chunks, mix, signed, written
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, FIRST_BANDS = 14, 3, 3
+BANDS, ROWS, FIRST_BANDS, HUBS = 14, 3, 3, 4
 DAMPING = 0.05
 CELLS = 1 << 16  # of each of the two rows of the sketch
 _SIZE = 1 << 16
@@ -183,20 +183,23 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     known = marked.where("id is not null and bands is not null")
     nodes = written(known.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("band", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    order = [F.xxhash64(F.lit(k), "band", "node") for k in range(HUBS)]
+    hubs = banded.groupBy("band", "key").agg(*(F.min_by("node", h).alias(f"hub{k}") for k, h in enumerate(order)), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hub = F.posexplode(F.array(*(f"hub{k}" for k in range(HUBS)))).alias("nth", "hub")
     pairs = (
-        banded.join(written(hubs), ["band", "key"]).where("node <> hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "band")
-        .groupBy("a", "b").agg(F.min("band").alias("band"))
+        banded.join(written(hubs), ["band", "key"]).select("node", "band", hub).where("node <> hub")
+        .groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .agg(F.min((F.col("band") >= FIRST_BANDS) | (F.col("nth") > 0)).alias("later"))
     )
     pairs = written(pairs)
-    links = written(_verified(pairs.where(F.col("band") < FIRST_BANDS).select("a", "b"), source, weights, similarity))
+    links = written(_verified(pairs.where("not later").select("a", "b"), source, weights, similarity))
     labels = components(links)
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
     apart = (
-        pairs.where(F.col("band") >= FIRST_BANDS).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        pairs.where("later").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     )
+    apart = written(apart)
     more = written(_verified(apart, source, weights, similarity))
     labels = components(links.unionByName(more))
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))

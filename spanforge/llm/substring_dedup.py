@@ -121,7 +121,7 @@ class _Parsed:
         shift, schema = self.shift, "h long, c long, pos long"
         source = self.docs.select("rid", "text")
         blocks = source.mapInArrow(lambda it: _anchored(it, shift), schema)
-        index = (
+        index = written(  # an exchange of its own on either side of the join lets adaptive execution split hot anchors
             blocks.groupBy("h")
             .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.min("pos").alias("ref"))
             .where("n > 1").select("h", "ref", (F.col("c_low") != F.col("c_high")).alias("differ"))
