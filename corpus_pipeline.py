@@ -1,11 +1,17 @@
-"""Corpus pipeline: STAGES applied to ``documents`` one after the other."""
+"""Corpus pipeline: STAGES applied to ``documents`` one after the other.
+
+Quality rules, exact dedup, near dedup (the document with the least id of each class stays), mixing of sources, which
+repeats the documents of small sources up to twice and leaves none out, and best-fit packing. All stages but the last
+return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import exact_dedup, quality_rules
-from spanforge.llm.common import checkpointed, table
+from spanforge.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from spanforge.llm.common import table, written
+from spanforge.llm.queries import word_tokenizer
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +22,25 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("exact dedup", drop_exact)]
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(docs).realised()
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs, word_tokenizer())
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
+]
 
 #: The log-likelihood verdict, the similarity of near copies and the tokenizer have no SQL form; tests/llm compares the
 #: stages with brute force.
@@ -26,5 +50,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

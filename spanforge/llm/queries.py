@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, near_dedup, packing, quality_rules, substring_dedup, warc
+from . import exact_dedup, html_extract, mixing, nbsvm, near_dedup, packing, pii, quality_rules, substring_dedup, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents")).places()
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -41,12 +49,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_extraction, op5_minhash_near_dedup, op6_exact_dedup, op8_best_fit_packing, op10_warc)}
+    ops = (
+        op1_substring_dedup, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_minhash_near_dedup, op6_exact_dedup, op7_pii,
+        op8_best_fit_packing, op9_quality_classifier, op10_warc,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
