@@ -10,8 +10,8 @@ epoch, as many epochs as its budget takes; the last epoch ends with the document
 into ``blocks`` pieces of equal shares, and block b of the mixture holds piece b of every source, so each stretch of the
 mixture has the target weights.
 
-Orders are hashes, so a document finds its place alone: sums over hash buckets (at most some ``MOST_BUCKETS`` rows,
-whatever the input) give the prefix before a bucket, and only the bucket in which a budget ends is sorted. The hot source
+Orders are hashes, so a document finds its place alone: sums over hash buckets (at most some ``MOST_BUCKETS`` rows, or
+16 a source and block, whatever the input) give the prefix before a bucket, and only the bucket in which a budget ends is sorted. The hot source
 is spread over its buckets. Everything is built-in expressions; texts are not shuffled.
 
 Tokens are words and one for the end. Edge cases: null text has the end alone; null sources are one source; rows that
@@ -95,7 +95,7 @@ class Mixture:
         self.plan = (
             totals.withColumn("__goal", goal)
             .withColumn("__epochs", F.ceil(F.col("__goal") / F.col("__all")).cast("int"))
-            .withColumn("__buckets", F.greatest(F.lit(1), F.ceil(F.col("__all") / F.lit(float(self.bucket_tokens)))).cast("long"))
+            .withColumn("__buckets", F.greatest(F.lit(16 * blocks), F.ceil(F.col("__all") / F.lit(float(self.bucket_tokens)))).cast("long"))
         )
         self.plan = written(self.plan)
         copies = self._copies(self.sized)

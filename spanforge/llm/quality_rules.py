@@ -126,7 +126,10 @@ def keep_good(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text:
     df = _with_features(packed, buckets)
     total = F.expr(f"aggregate(features, 0D, (s, b) -> s + get({literal}, b))")
     df = df.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0)).drop("features", "shapes")
-    return base_rules(df).where(~F.col("base_failed") & (F.col("score") >= threshold)).select("__row.*")
+    # A filter would be pushed into the steps above, which then nest and repeat; a column that is not deterministic,
+    # and that the filter reads, keeps it above them.
+    df = base_rules(df).withColumn("__step", F.monotonically_increasing_id())
+    return df.where(~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("__step") >= 0)).select("__row.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
