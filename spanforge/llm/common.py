@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.plans.storage import shared_folder, written
+
 #: The white space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_REGEX = r"[\x20\x09-\x0D]+"
 
+__all__ = ["Windows", "Words", "checkpointed", "chunks", "mix", "native_words", "shared_folder", "signed", "squeezed", "table", "texts_of", "without", "written"]
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_WORD = np.ones(256, dtype=bool)
@@ -30,27 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster names; only where none is named, a local one is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanforge-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``), or a temporary one where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, read again: lineage ends there, at less disk than a checkpoint takes."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/spanforge-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``gone`` (one column), with all their columns, whatever these are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"))
+    gone = gone.select(F.col(gone.columns[0]).alias("__gone")).distinct()
+    return rows.join(gone, rows["__id"] == gone["__gone"], "left_anti").select("__row.*")
 
 
 def squeezed(text: Column | str) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, squeezed
+from .common import checkpointed, squeezed, without
 
 #: Most digests whose winners are broadcast, and counters of the sketch: any digest with more than about
 #: rows / tracked copies is among its answers.
@@ -53,8 +53,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows with one id twice are both kept or both dropped."""
-    gone = exact_dedup(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return without(docs, doc_id, exact_dedup(docs, doc_id, text).where(~F.col("kept")).select("doc_id"))
 
 
 ORACLE_SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, Words, chunks, mix, signed, written
+from .common import Windows, Words, chunks, mix, signed, without, written
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -217,5 +217,4 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the least id, with all columns."""
-    gone = near_classes(docs, doc_id, text, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return without(docs, doc_id, near_classes(docs, doc_id, text, similarity).where(~F.col("kept")).select("doc_id"))

@@ -71,7 +71,7 @@ def dictionary(records: list[bytes], sample_bytes: int = SAMPLE_BYTES, size: int
 
 
 def archive(records: list[bytes]) -> bytes:
-    info = b"software: spanforge\r\nformat: WARC File Format 1.1\r\n"
+    info = f"software: spanforge\r\nformat: WARC File Format 1.1\r\nrecords: {len(records)}\r\n".encode()
     first = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:info>\r\nWARC-Date: " + _DATE.encode() + b"\r\nContent-Type: application/warc-fields\r\nContent-Length: " + str(len(info)).encode() + b"\r\n\r\n" + info + b"\r\n\r\n"
     own = dictionary(records)
     packed = zstd.ZstdCompressor(level=19, write_checksum=True).compress(own.as_bytes())
@@ -80,7 +80,7 @@ def archive(records: list[bytes]) -> bytes:
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
+    """Headers and block of each record of an archive; fails if there are not as many as its first record tells."""
     magic, size = struct.unpack_from("<II", data)
     if magic != MAGIC:
         raise ValueError("the archive does not begin with a dictionary frame")
@@ -88,13 +88,13 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     if own[:4] == b"\x28\xb5\x2f\xfd":
         own = zstd.ZstdDecompressor().decompress(own)
     stream = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(own)).stream_reader(memoryview(data)[8 + size :], read_across_frames=True)
-    rest = b""
+    rest, told, seen = b"", None, -1
     while True:
         while (end := rest.find(b"\r\n\r\n")) < 0:
             more = stream.read(1 << 18)
             if not more:
-                if rest.strip():
-                    raise ValueError("the archive ends within a record")
+                if rest.strip() or told != seen:
+                    raise ValueError(f"the archive ends after {seen} of {told} records")
                 return
             rest += more
         version, *lines = rest[:end].decode().split("\r\n")
@@ -107,8 +107,10 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if not more:
                 raise ValueError("the archive ends within a record")
             rest += more
-        yield headers, rest[end + 4 : need - 4]
-        rest = rest[need:]
+        block, rest, seen = rest[end + 4 : need - 4], rest[need:], seen + 1
+        if headers["WARC-Type"] == "warcinfo":
+            told = int(block.rpartition(b"records: ")[2])
+        yield headers, block
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
