@@ -130,14 +130,13 @@ class _Parsed:
         met = written(met.select(*(F.when(F.col("differ"), F.col(x)).alias(x) for x in ("h", "c")), "pos", "ref", "differ"))
         alike = met.where("not differ").select("pos", "ref")
         unlike = met.where("differ").select("h", "c", "pos")
-        first = unlike.groupBy("h", "c").agg(F.min("pos").alias("ref"))
+        first = written(unlike.groupBy("h", "c").agg(F.min("pos").alias("ref")))
         again = unlike.join(first, ["h", "c"]).where("pos > ref").select("pos", "ref")
         # The first block of each reading: its windows may be in blocks that read otherwise.
         listed = first.select(F.shiftright("ref", shift).alias("rid"), "ref").groupBy("rid").agg(F.collect_list("ref").alias("places"))
         windows = written(source.join(listed, "rid").mapInArrow(lambda it: _single_windows(it, shift), schema))
-        seen = windows.groupBy("h", "c").agg(F.min("pos").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        seen = written(windows.groupBy("h", "c").agg(F.min("pos").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         edges = windows.join(seen, ["h", "c"]).where("pos > ref").select("pos", "ref")
-        self.stats = met, first, windows
         return alike.unionByName(again).unionByName(edges)
 
     def with_repeats(self) -> DataFrame:
