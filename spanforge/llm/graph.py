@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        moved = written(labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jumps = moved.select(F.col("node").alias("at"), F.col("label").alias("jump"))
         new = checkpointed(moved.join(jumps, moved.label == jumps["at"], "left").select("node", "old", F.coalesce(F.least("label", "jump"), "label").alias("label")))
         if new.where("label <> old").isEmpty():
