@@ -18,8 +18,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_own: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends there, and lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the tables that this process has written so far; for when no DataFrame built on them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _own:
+        path = jvm.org.apache.hadoop.fs.Path(_own.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

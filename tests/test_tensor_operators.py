@@ -4,6 +4,7 @@ import pytest
 from spanforge.operators import linalg, scale, shift, truncate
 from spanforge.operators.orthogonalize import EuclideanL2, WeightedL2
 from spanforge.operators.space import CompositeSpace, dictionary_space, pod_space
+from spanforge.plans.storage import drop_written, written
 from spanforge.plans.tensor import Extents, checked, from_long, from_matrix_rows, from_numpy, scalars
 from spanforge.sources import sinks
 
@@ -213,3 +214,9 @@ def test_sinks(spark, tmp_path, data):
 
 def test_extents_unpack():
     assert tuple(Extents(1, 2, 3)) == (1, 2, 3)
+
+
+def test_written_tables_can_be_dropped(spark):
+    again = written(spark.range(5).selectExpr("id as x", "'text' as t"))
+    assert again.count() == 5 and [r["x"] for r in again.orderBy("x").collect()] == list(range(5))
+    assert drop_written(spark) >= 1 and drop_written(spark) == 0
