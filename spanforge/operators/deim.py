@@ -17,27 +17,30 @@ from spanforge.plans.storage import written
 from spanforge.plans.tensor import Extents, Tensor
 
 
-def _residual(weights: np.ndarray, mode: int):
-    """Column ``mode`` less its combination of the columns before."""
-    total = F.get("v", F.lit(mode))
-    for k, c in enumerate(weights):
-        total = total - F.lit(float(c)) * F.get("v", F.lit(k))
-    return total
+def _pivots(rows: DataFrame, variables: int, modes: int) -> list[list[int]]:
+    """``rows``: var, x, v. For each variable its points in the order in which they are chosen; the least of equals.
 
-
-def _pivots(rows: DataFrame, modes: int) -> list[int]:
-    """``rows``: x, v. Points in the order in which they are chosen; the least of equals."""
-    chosen: list[tuple[int, np.ndarray]] = []
+    One job a mode serves all variables. The coefficients so far come as a small literal table by variable.
+    """
+    chosen: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(variables)]
     for mode in range(modes):
-        if chosen:
-            at = np.array([v for _, v in chosen])
-            weights = np.linalg.lstsq(at[:, :mode], at[:, mode], rcond=None)[0]
+        weights = []
+        for own in chosen:
+            at = np.array([v for _, v in own])
+            weights.append(np.linalg.lstsq(at[:, :mode], at[:, mode], rcond=None)[0] if own else np.zeros(0))
+        by_var = lambda values: F.array(*values)[F.col("var")]
+        residual = F.get("v", F.lit(mode))
+        for k in range(mode):
+            residual = residual - by_var([F.lit(float(w[k])) for w in weights]) * F.get("v", F.lit(k))
+        if mode:
+            taken = by_var([F.array(*[F.lit(x).cast("long") for x, _ in own]) for own in chosen])
+            residual = F.when(F.array_contains(taken, F.col("x")), F.lit(-1.0)).otherwise(F.abs(residual))
         else:
-            weights = np.zeros(0)
-        size = F.abs(_residual(weights, mode))
-        best = rows.agg(F.max_by(F.struct("x", "v"), F.struct(F.when(F.col("x").isin([x for x, _ in chosen]), F.lit(-1.0)).otherwise(size), -F.col("x"))).alias("b")).first()["b"]
-        chosen.append((best["x"], np.array(best["v"])))
-    return [x for x, _ in chosen]
+            residual = F.abs(residual)
+        best = rows.groupBy("var").agg(F.max_by(F.struct("x", "v"), F.struct(residual, -F.col("x"))).alias("b")).collect()
+        for row in best:  # one a variable
+            chosen[row["var"]].append((row["b"]["x"], np.array(row["b"]["v"])))
+    return [[x for x, _ in own] for own in chosen]
 
 
 def deim_indices(basis: Tensor) -> DataFrame:
@@ -45,31 +48,32 @@ def deim_indices(basis: Tensor) -> DataFrame:
     n_var, n_x, modes = basis.extents
     if modes > n_var * n_x:
         raise ValueError("more modes than rows")
-    rows = written(basis.row_ids().select(F.col("row_id").alias("x"), "v"))
-    found = _pivots(rows, modes)
-    return rows.sparkSession.createDataFrame(list(enumerate(found)), "rank int, x long")
+    rows = written(basis.row_ids().select(F.lit(0).alias("var"), F.col("row_id").alias("x"), "v"))
+    return rows.sparkSession.createDataFrame(list(enumerate(_pivots(rows, 1, modes)[0])), "rank int, x long")
 
 
 def multi_state_deim_indices(basis: Tensor) -> DataFrame:
     """rank, x: the different points of all variables' own selections, in increasing order."""
-    base = written(basis.rows.select("var", "x", "v"))
-    found = set()
-    for var in range(basis.extents.n_var):
-        found.update(_pivots(base.where(F.col("var") == var).select("x", "v"), basis.extents.n_s))
-    return base.sparkSession.createDataFrame(list(enumerate(sorted(found))), "rank int, x long")
+    if basis.extents.n_s > basis.extents.n_x:
+        raise ValueError("more modes than points")
+    rows = written(basis.rows.select("var", "x", "v"))
+    found = sorted(set().union(*_pivots(rows, basis.extents.n_var, basis.extents.n_s)))
+    return rows.sparkSession.createDataFrame(list(enumerate(found)), "rank int, x long")
 
 
-def _sampled(rows: DataFrame, points: DataFrame) -> tuple[list[int], dict[int, np.ndarray]]:
-    """The points in rank order, and their rows; both are as many as the sample mesh."""
-    order = [r["x"] for r in points.orderBy("rank").collect()]
-    found = {r["x"]: np.array(r["v"]) for r in rows.join(F.broadcast(points.select("x")), "x", "left_semi").collect()}
-    return order, found
+def _sampled(rows: DataFrame, points: DataFrame) -> dict[int, np.ndarray]:
+    """``rows``: var, x, v. For each variable its rows at the points, in rank order; as many as the sample mesh."""
+    order = {r["x"]: r["rank"] for r in points.collect()}
+    found: dict[int, dict[int, list[float]]] = {}
+    for r in rows.join(F.broadcast(points.select("x")), "x", "left_semi").collect():
+        found.setdefault(r["var"], {})[order[r["x"]]] = r["v"]
+    return {var: np.array([own[k] for k in sorted(own)]) for var, own in found.items()}
 
 
 def approximation_matrix(basis: Tensor, points: DataFrame) -> Tensor:
     """U pinv(U[points]): a row for each row of U, a column for each point."""
-    order, found = _sampled(basis.row_ids().select(F.col("row_id").alias("x"), "v"), points)
-    return linalg.times(basis, np.linalg.pinv(np.array([found[x] for x in order])))
+    at = _sampled(basis.row_ids().select(F.lit(0).alias("var"), F.col("row_id").alias("x"), "v"), points)[0]
+    return linalg.times(basis, np.linalg.pinv(at))
 
 
 def _cross(left: Tensor, right: Tensor) -> dict[int, np.ndarray]:
@@ -85,13 +89,11 @@ def _cross(left: Tensor, right: Tensor) -> dict[int, np.ndarray]:
 
 def multi_state_test_basis(space: Tensor, basis: Tensor, points: DataFrame) -> Tensor:
     """For each variable of ``basis`` [(Phi^T U) pinv(U[points])]^T: a row for each point (by rank), a column for each mode."""
-    cross = _cross(space, basis)
+    cross, at = _cross(space, basis), _sampled(basis.rows, points)
     spark = basis.rows.sparkSession
     rows: list[tuple[int, int, list[float]]] = []
     for var in range(basis.extents.n_var):
-        order, found = _sampled(basis.rows.where(F.col("var") == var).select("x", "v"), points)
-        product = (cross[var] @ np.linalg.pinv(np.array([found[x] for x in order]))).T
-        rows += [(var, rank, line.tolist()) for rank, line in enumerate(product)]
+        rows += [(var, rank, line) for rank, line in enumerate((cross[var] @ np.linalg.pinv(at[var])).T.tolist())]
     frame = spark.createDataFrame(rows, "var int, x long, v array<double>")
     return Tensor(frame, Extents(basis.extents.n_var, len(rows) // basis.extents.n_var, space.extents.n_s))
 
