@@ -30,7 +30,13 @@ from .common import written
 
 MAX_REPEATS, BLOCKS = 2.0, 64
 BUCKET_TOKENS, MOST_BUCKETS, MOST_SOURCES = 1 << 16, 1 << 20, 100_000
-_UNIT = float(1 << 53)
+_UNIT = float(1 << 52)
+
+
+def _hash(*parts: Column) -> Column:
+    """52 bits of md5 of the parts as text; any SQL engine can compute it too."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def tempered(shares: list[float], exponent: float) -> list[float]:
@@ -63,7 +69,7 @@ def bisected(shares: list[float], max_repeats: float | None = None, entropy_shar
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (low, middle) if enough(middle) else (middle, high)
-    return high
+    return min(1.0, math.ceil(high * 1e9) / 1e9)
 
 
 class Mixture:
@@ -116,7 +122,7 @@ class Mixture:
     def _copies(self, rows: DataFrame) -> DataFrame:
         """A row for each epoch that may take it, with its key and bucket there. ``rows``: __id, __source."""
         rows = rows.join(F.broadcast(self.plan), "__source").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
-        key: Column = F.pmod(F.xxhash64(F.lit(self.seed), F.col("__epoch"), F.col("__id")), F.lit(1 << 53))
+        key = _hash(F.lit(self.seed), F.col("__epoch"), F.col("__id"))
         return rows.withColumn("__key", key).withColumn("__bucket", F.floor(F.col("__key") / F.lit(_UNIT) * F.col("__buckets")).cast("long"))
 
     def _taken(self, rows: DataFrame) -> DataFrame:
@@ -132,7 +138,7 @@ class Mixture:
         block = F.least(F.lit(self.blocks - 1), F.floor(F.col("__before") * F.lit(float(self.blocks)) / F.col("__goal"))).cast("int")
         return rows.select(
             F.col("__id").alias("doc_id"), F.when(F.col("__source") != "null", F.substring("__source", 2, 1 << 30)).alias("source"),
-            F.col("__epoch").alias("epoch"), block.alias("block"), F.xxhash64(F.lit(self.seed + 1), "__key", "__id").alias("place"), F.col("__n").alias("n_tokens"),
+            F.col("__epoch").alias("epoch"), block.alias("block"), _hash(F.lit(self.seed + 1), F.col("__epoch"), F.col("__id")).alias("place"), F.col("__n").alias("n_tokens"),
         )
 
     def realised(self) -> DataFrame:
@@ -140,3 +146,25 @@ class Mixture:
         columns = F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("__row")
         rows = self.docs.select(columns, self.id.alias("__id"), self.source.alias("__source"))
         return self._taken(rows).select("__row.*")
+
+
+#: The mixture to the default repetition limit; there the exponent has a closed form.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents),
+t AS (SELECT source, sum(n)::DOUBLE AS total FROM d GROUP BY source),
+s AS (SELECT source, total, total / sum(total) OVER () AS share FROM t),
+e AS (SELECT CASE WHEN max(share) / min(share) <= 2 THEN 0 ELSE least(1, ceil((1 - ln(2) / ln(max(share) / min(share))) * 1e9) / 1e9) END AS e FROM s),
+w AS (SELECT source, total, pow(share, e) / sum(pow(share, e)) OVER () AS weight FROM s, e),
+g AS (SELECT source, total, greatest(1, round(weight * max(total / weight) OVER ())) AS goal, greatest(1024, ceil(total / 65536)) AS buckets FROM w),
+c AS (
+  SELECT doc_id, d.source, n, goal, epoch, ('0x' || substr(md5('0|' || epoch || '|' || doc_id), 1, 13))::BIGINT AS key, buckets
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, LATERAL (SELECT unnest(range(0, ceil(goal / total)::BIGINT)) AS epoch)),
+b AS (SELECT *, floor(key / 4503599627370496.0::DOUBLE * buckets) AS bucket FROM c),
+p AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY epoch, key) - sum(n) OVER (PARTITION BY source, epoch, key) AS before,
+         sum(n) OVER (PARTITION BY source ORDER BY epoch, bucket) - sum(n) OVER (PARTITION BY source, epoch, bucket) AS bucket_before FROM b)
+SELECT doc_id, source, epoch::INT AS epoch, least(63, floor(bucket_before * 64.0::DOUBLE / goal))::INT AS block,
+       ('0x' || substr(md5('1|' || epoch || '|' || doc_id), 1, 13))::BIGINT AS place, n AS n_tokens
+FROM p WHERE before < goal
+"""

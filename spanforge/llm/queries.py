@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("n_factors")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
+    }

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import html_extract, mixing, nbsvm, pii, quality_rules, warc
 
@@ -129,7 +130,7 @@ def test_mixture_equals_brute_force(spark, docs, rows, goal):
         assert mixing.repeats(list(shares.values()), weights) <= goal["max_repeats"] * (1 + 1e-9)
         assert plan.exponent == 0 or mixing.repeats(list(shares.values()), mixing.tempered(list(shares.values()), plan.exponent - 1e-6)) > goal["max_repeats"]
     budget = goal.get("budget") or max(total[s] / w for s, w in zip(shares, weights))
-    keys = {(r["__id"], e): r[f"k{e}"] for r in plan.sized.selectExpr("__id", *[f"pmod(xxhash64(0, {e}, __id), {1 << 53}L) as k{e}" for e in range(40)]).collect() for e in range(40)}
+    keys = {(r["__id"], e): r[f"k{e}"] for r in plan.sized.select("__id", *[mixing._hash(F.lit(0), F.lit(e), F.col("__id")).alias(f"k{e}") for e in range(40)]).collect() for e in range(40)}
     expected = Counter()
     for s, w in zip(shares, weights):
         left, epoch = max(1, round(w * budget)), 0
