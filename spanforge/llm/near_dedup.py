@@ -7,9 +7,11 @@ lose its links. Document frequencies come from a count-min sketch of fixed size
 of a cell; its error is a constant share of N, whatever N is.
 
 Texts with equal words are one node. ``BANDS`` x ``ROWS`` consistent weighted samples of each are banded (a pair of
-similarity 0.8 shares no band with a chance of 4e-5). In a bucket, every node is paired with ``HUBS`` hubs, the least by
-as many hashes that differ between bands, so buckets make stars, never all pairs, and a group is tied together through
-dozens of hubs. The first hubs of the first bands come first; of all others only pairs not yet in one class remain. All
+similarity 0.8 shares no band with a chance of 4e-5); two neighbouring bands together make as many finer ones, in which
+nodes meet those most like them. In a bucket, every node is paired with four hubs: those two that meet the most others in
+all their buckets, which lie in the middle of their group, and two by hashes that differ between bands. Buckets make
+stars, never all pairs, and a group is tied together through up to a hundred hubs. The middle ones of the first bands
+come first; of all others only pairs not yet in one class remain. All
 pairs are verified with the exact weighted Jaccard similarity of both whole texts (a pair whose bare shingle sets reach
 the threshold passes too, so that weights lose no link). Classes are connected components, found in Spark.
 
@@ -30,7 +32,7 @@ from .common import Windows, Words, chunks, mix, signed, without, written
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, FIRST_BANDS, HUBS = 14, 3, 3, 4
+BANDS, ROWS, FIRST_BANDS = 14, 3, 3
 DAMPING = 0.05
 CELLS = 1 << 16  # of each of the two rows of the sketch
 _SIZE = 1 << 16
@@ -182,14 +184,21 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     marked = written(_signatures(source, weights))
     known = marked.where("id is not null and bands is not null")
     nodes = written(known.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    order = [F.xxhash64(F.lit(k), "band", "node") for k in range(HUBS)]
-    hubs = banded.groupBy("band", "key").agg(*(F.min_by("node", h).alias(f"hub{k}") for k, h in enumerate(order)), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hub = F.posexplode(F.array(*(f"hub{k}" for k in range(HUBS)))).alias("nth", "hub")
+    finer = F.transform("bands", lambda key, i: F.xxhash64(key, F.get("bands", F.pmod(i + 1, F.lit(BANDS)))))
+    banded = nodes.select("node", F.posexplode(F.concat("bands", finer)).alias("band", "key"))
+    crowded = written(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = written(banded.join(crowded, ["band", "key"]))
+    # How many a node meets in all its buckets: the nearer to the middle of its group, the more.
+    central = written(members.groupBy("node").agg(F.sum("n").alias("met")))
+    ranked = members.join(central, "node").withColumn("hash", F.xxhash64("band", "node"))
+    middle = F.shiftleft("met", 20) + F.pmod("hash", F.lit(1 << 20))
+    half = F.pmod("hash", F.lit(2))
+    chosen = [F.max_by("node", F.when(half == 0, middle)), F.max_by("node", F.when(half == 1, middle)), F.min_by("node", "hash"), F.max_by("node", "hash")]
+    hubs = written(ranked.groupBy("band", "key").agg(F.array(*chosen).alias("hubs")))
     pairs = (
-        banded.join(written(hubs), ["band", "key"]).select("node", "band", hub).where("node <> hub")
+        members.join(hubs, ["band", "key"]).select("node", "band", F.posexplode("hubs").alias("nth", "hub")).where("node <> hub")
         .groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .agg(F.min((F.col("band") >= FIRST_BANDS) | (F.col("nth") > 0)).alias("later"))
+        .agg(F.min((F.col("band") >= FIRST_BANDS) | (F.col("nth") > 1)).alias("later"))
     )
     pairs = written(pairs)
     links = written(_verified(pairs.where("not later").select("a", "b"), source, weights, similarity))
