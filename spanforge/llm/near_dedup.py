@@ -182,8 +182,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     weights = sketch(source)
     marked = written(_signatures(source, weights))
-    known = marked.where("id is not null and bands is not null")
-    nodes = written(known.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
+    known = marked.where("id is not null and bands is not null").withColumn("first", F.col("bands")[0])
+    # Equal words by 64 bits of their own and 64 of the first band, which only texts that are near copies could share.
+    nodes = written(known.groupBy("digest", "first").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
     finer = F.transform("bands", lambda key, i: F.xxhash64(key, F.get("bands", F.pmod(i + 1, F.lit(BANDS)))))
     banded = nodes.select("node", F.posexplode(F.concat("bands", finer)).alias("band", "key"))
     crowded = written(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -211,9 +212,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     apart = written(apart)
     more = written(_verified(apart, source, weights, similarity))
     labels = components(links.unionByName(more))
-    classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
+    classes = nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("class_id"))
     out = (
-        marked.where("bands is not null and id is not null").join(written(classes), "digest").select(F.col("id").alias("doc_id"), "class_id")
+        known.join(written(classes), ["digest", "first"]).select(F.col("id").alias("doc_id"), "class_id")
         .unionByName(marked.where("bands is null or id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
     )
     out = written(out)

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_REGEX, native_words
+from .common import native_words
 
 BUCKETS = 1 << 13
 #: A document stays if its mean log ratio is at least this. The raw corpus holds the target, so text of the target's

@@ -8,7 +8,7 @@ import pytest
 
 from spanforge.llm import exact_dedup, graph, near_dedup, substring_dedup
 
-from .conftest import SCHEMA, corpus, prose  # noqa: F401
+from .conftest import SCHEMA, corpus
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
