@@ -20,7 +20,8 @@ from spanforge.operators.orthogonalize import EuclideanL2, WeightedL2
 from spanforge.operators.space import CompositeSpace, VectorSpace, dictionary_space, pod_space
 from spanforge.plans.storage import shared_folder, written
 from spanforge.plans.tensor import Extents, Tensor, from_long, from_rows
-from spanforge.sources.sinks import nodal_fields
+from spanforge.sources.dakota import read_parameters, template_cases
+from spanforge.sources.sinks import nodal_fields, read_space, write_space
 from spanforge.streaming.gram import stream_gram, streamed_gram
 from spanforge.workflows import greedy, params
 from spanforge.workflows.sampling import run_samples
@@ -388,6 +389,15 @@ def nodal_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(nodal_fields(dictionary_space(t, shift.average_shift(t)), ["quantity", "price", "discount", "tax"]))
 
 
+@query(f"WITH {T_SQL} SELECT {_CELL.format('val - avg(val) OVER (PARTITION BY var, x)').replace(' s, ', ' s AS mode, ')} FROM z")
+def space_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = scaled_t(spark, sf_dir)
+    space = dictionary_space(t, shift.average_shift(t))
+    path = f"{shared_folder(spark)}/space-{np.random.default_rng().integers(1 << 62):x}"
+    write_space(space, path)
+    return emitted(read_space(spark, path, space.extents).basis.long("mode"))
+
+
 # Empirical interpolation.
 
 
@@ -524,6 +534,22 @@ def sample_lhs_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by("a").join(by("b"), "stratum")
 
 
+@query("SELECT r_regionkey AS position, round(r_regionkey + 0.5, 6)::DOUBLE + 0.0 AS value, 'v_' || replace(lower(r_name), ' ', '_') AS name FROM region")
+def dakota_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter file with one variable a region, written and read."""
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    lines = [f"  {len(regions)} variables", *(f" {r['r_regionkey']}.5e0 v_{r['r_name'].lower().replace(' ', '_')}" for r in regions), " 1 functions"]
+    path = f"{shared_folder(spark)}/params-{np.random.default_rng().integers(1 << 62):x}"
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return emitted(read_parameters(spark, path))
+
+
+@query("SELECT n_nationkey AS sample_idx, 'u = ' || (n_nationkey / 100.0::DOUBLE)::VARCHAR || '; name = ' || n_name || ';' AS text FROM nation")
+def template_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample_idx"), (F.col("n_nationkey") / 100.0).alias("u"), F.col("n_name").alias("name"))
+    return emitted(template_cases("u = {u}; name = {name};", samples))
+
+
 # Outer loops.
 
 

@@ -7,6 +7,7 @@ which become the trace.
 from __future__ import annotations
 
 import dataclasses
+import logging
 from collections.abc import Sequence
 from typing import Protocol
 
@@ -18,6 +19,9 @@ from pyspark.sql import Window as W
 from spanforge.workflows.params import ParameterSpace, germ_from_numpy, monte_carlo_germ
 
 
+log = logging.getLogger(__name__)
+
+
 class GreedyCoupler(Protocol):
     """``samples``: a DataFrame sample_idx and parameters, in the order of the ids that are asked for."""
 
@@ -103,6 +107,7 @@ def run_greedy(spark: SparkSession, coupler: GreedyCoupler, tolerance: float, te
         best = int(np.argmax(found))
         pick, indicator = pool[best], float(found[best])
         predicted = regressor.predict(indicator) if iteration > 1 else None
+        log.info("round %d: sample %d has the largest indicator, %g; predicted error %s", iteration, pick, indicator, predicted)
         if predicted is not None and predicted < tolerance:
             rows.append((iteration, pick, indicator, None, predicted))
             converged = True

@@ -6,7 +6,7 @@ import pytest
 from spanforge import queries as engine
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer embeddings lineitem orders part".split()
+TABLES = "customer embeddings lineitem nation orders part region".split()
 
 
 @pytest.fixture(scope="module")
