@@ -130,13 +130,27 @@ def _reducer(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def signed(u: Tensor) -> Tensor:
-    """Each mode's entry of largest size, the one of the lowest row on ties, made positive."""
-    n_x = u.extents.n_x
-    rows = u.rows.select((F.col("var") * n_x + F.col("x")).alias("row_id"), F.posexplode("v").alias("mode", "e"))
-    # Sizes that differ by rounding alone count as ties.
-    signs = rows.groupBy("mode").agg(F.max_by("e", F.struct(F.round(F.abs("e"), 9), -F.col("row_id"))).alias("e"))
+    """Each mode's entry of largest size, the one of the lowest row on ties, made positive.
+
+    Every batch sends one candidate a mode. Sizes that differ by rounding alone count as ties.
+    """
+    n_x, k = u.extents.n_x, u.extents.n_s
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row_id = batch.column(0).to_numpy().astype(np.int64) * n_x + batch.column(1).to_numpy()
+                order = np.argsort(row_id)
+                m = matrix_of(batch.column(2), k)[order]
+                size = np.round(np.abs(m), 9)
+                at = size.argmax(axis=0)  # the first of equals, rows being in order
+                modes = np.arange(k)
+                yield pa.RecordBatch.from_arrays([pa.array(modes), pa.array(size[at, modes]), pa.array(-row_id[order][at]), pa.array(m[at, modes])], ["mode", "size", "place", "e"])
+
+    best = u.rows.select("var", "x", "v").mapInArrow(candidates, "mode long, size double, place long, e double")
+    signs = best.groupBy("mode").agg(F.max_by("e", F.struct("size", "place")).alias("e"))
     found = {r["mode"]: -1.0 if r["e"] < 0 else 1.0 for r in signs.collect()}  # one number a mode
-    flips = F.array(*[F.lit(found.get(k, 1.0)) for k in range(u.extents.n_s)])
+    flips = F.array(*[F.lit(found.get(m, 1.0)) for m in range(k)])
     return u.with_values(F.zip_with("v", flips, lambda a, b: a * b))
 
 

@@ -51,7 +51,8 @@ class VectorScaling:
         return self
 
     def _scaled(self, tensor: Tensor, before: bool) -> Tensor:
-        rows = tensor.rows.join(self.table.select("x", "w"), "x")
+        gap = F.raise_error(F.lit("the scaling vector lacks a point of the tensor")).cast("double")
+        rows = tensor.rows.join(self.table.select("x", "w"), "x", "left").withColumn("w", F.when(F.col("w").isNull(), gap).otherwise(F.col("w")))
         return Tensor(rows.select("var", "x", F.transform("v", lambda e: (1.0 / F.col("w")) * e if before else F.col("w") * e).alias("v")), tensor.extents)
 
     def pre(self, tensor: Tensor) -> Tensor:

@@ -78,6 +78,8 @@ def test_scalings(spark, data):
         assert np.allclose(both.pre(t).numpy(), data / by / w[:, None])
         assert np.allclose(both.post(both.pre(t)).numpy(), data)
     assert np.allclose(scale.VariableScaling("max_abs").fit(from_numpy(spark, 0 * data)).pre(from_numpy(spark, 0 * data)).numpy(), 0)
+    with pytest.raises(Exception, match="lacks a point"):
+        scale.VectorScaling(scalars(spark, w[:4], "w")).pre(t).numpy()
     with pytest.raises(ValueError):
         scale.VariableScaling("other")
     with pytest.raises(RuntimeError):
