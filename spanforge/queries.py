@@ -638,7 +638,7 @@ def greedy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
 def stream_gram_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "embeddings").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*embeddings*").parquet(sf_dir)
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a file or a folder of files
     top = f"{shared_folder(spark)}/stream-{np.random.default_rng().integers(1 << 62):x}"
     stream_gram(source.select(F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v")), f"{top}/sums", f"{top}/state").awaitTermination()
     return emitted(streamed_gram(spark.read.parquet(f"{top}/sums")), 4)
