@@ -15,6 +15,11 @@ come first; of all others only pairs not yet in one class remain. All
 pairs are verified with the exact weighted Jaccard similarity of both whole texts (a pair whose bare shingle sets reach
 the threshold passes too, so that weights lose no link). Classes are connected components, found in Spark.
 
+What hubs do not join is found by an exact prefix filter. All texts order their shingles alike, the rarest of the sketch
+first. Up to the first shingle that two texts share, neither has any of the overlap, so a pair that reaches the threshold
+shares a shingle behind which both still have enough weight for it: one of the first tenth or so of the lighter text and
+of the first fifth of the other. Pairs of different classes that meet so are verified, all of them.
+
 Edge cases: null text is empty; texts without words are alike to nothing; rows with a null id stand alone, with a null
 class; rows that repeat an id share its class; an empty table gives an empty result; other columns are not looked at.
 """
@@ -35,6 +40,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, FIRST_BANDS = 14, 3, 3
 DAMPING = 0.05
 CELLS = 1 << 16  # of each of the two rows of the sketch
+SLACK = 1e-9  # for sums in another order
 _SIZE = 1 << 16
 
 
@@ -45,9 +51,12 @@ class Weights:
         self.n = max(1, n_docs)
         self.cells = np.maximum(0, cells - cells.mean(axis=1, keepdims=True))
 
-    def of(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    def df(self, shingles: np.ndarray) -> np.ndarray:
         df = np.minimum(self.cells[0][shingles >> np.uint64(48)], self.cells[1][(shingles >> np.uint64(32)) & np.uint64(CELLS - 1)])
-        idf = 1 + DAMPING * np.log((self.n + 1) / (np.clip(df, 1, self.n) + 1)) / np.log(self.n + 1)
+        return np.clip(df, 1, self.n)
+
+    def of(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        idf = 1 + DAMPING * np.log((self.n + 1) / (self.df(shingles) + 1)) / np.log(self.n + 1)
         return (1 + np.log(tf)) * idf
 
 
@@ -121,8 +130,20 @@ def sketch(docs: DataFrame) -> Weights:
     return Weights(n_docs, total.reshape(2, CELLS))
 
 
-def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """Per document: id, digest of its words, and its bands' keys (null without words)."""
+def prefixes(h: np.ndarray, w: np.ndarray, at: np.ndarray, df: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's shingles, the rarest first, as long as those left have ``similarity`` of its weight: the prefixes'
+    offsets, shingles, weights left (with the shingle's own), and each text's whole weight."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((df, text))  # equal ones by hash, as they come
+    ends = np.append(0.0, np.cumsum(w[order]))
+    left = ends[at[1:]][text] - ends[:-1]
+    total = ends[at[1:]] - ends[at[:-1]]
+    some = left >= similarity * total[text] * (1 - SLACK)
+    return np.append(0, np.cumsum(np.bincount(text[some], minlength=len(at) - 1))), h[order][some], left[some], total
+
+
+def _signatures(docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Per document: id, digest of its words, its bands' keys (null without words), and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +152,22 @@ def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
             for i, j, data, offsets in chunks(batch.column(1)):
                 h, tf, at, digest = shingles(data, offsets)
                 some = np.flatnonzero(np.diff(at))
+                w = weigh.of(h, tf)
                 keys = np.zeros((j - i, BANDS), np.uint64)
                 if len(some):
-                    samples = sampler.sample(h, weigh.of(h, tf), np.append(at[some], at[-1]))
+                    samples = sampler.sample(h, w, np.append(at[some], at[-1]))
                     key = np.zeros((len(some), BANDS), np.uint64)
                     for k in range(ROWS):
                         key = mix(key * np.uint64(0x100000001B3) + samples[:, k::ROWS])
                     keys[some] = key
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), signed(keys.ravel()))
                 bands = pa.ListArray.from_arrays(bands.offsets, bands.values, mask=pa.array(np.diff(at) == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), signed(digest), bands], ["id", "digest", "bands"])
+                ends, rare, left, total = prefixes(h, w, at, weigh.df(h), similarity)
+                of = lambda values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+                columns = [batch.column(0).slice(i, j - i), signed(digest), bands, of(signed(rare)), of(pa.array(left)), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "bands", "rare", "left", "total"])
 
-    return docs.mapInArrow(rows, "id long, digest long, bands array<long>")
+    return docs.mapInArrow(rows, "id long, digest long, bands array<long>, rare array<long>, left array<double>, total double")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
@@ -177,11 +202,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: f
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
 
 
+def _unmet(marked: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes in different classes that may reach ``similarity``; ``classes``: node, class."""
+    least = 2 * similarity / (1 + similarity) * (1 - SLACK)
+    rows = (
+        marked.join(classes, F.col("id") == F.col("node"))
+        .select("node", "class", "total", F.explode(F.arrays_zip("rare", "left")).alias("s"))
+        .select(F.col("s.rare").alias("key"), "class", "node", F.col("s.left").alias("left"), "total", (F.col("s.left") >= least * F.col("total")).alias("early"))
+    )
+    alive = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("early")).where("low <> high and early")
+    rows = written(rows.join(alive.select("key"), "key"))
+    # Classes meet first, so that members of one class never do.
+    held = written(rows.groupBy("key", "class").agg(F.max("early").alias("early")))
+    meet = held.where("early").select("key", F.col("class").alias("class_a")).join(held.select("key", F.col("class").alias("class_b")), "key").where("class_a <> class_b")
+    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "early")])
+    return (
+        meet.join(of("a").where("early_a"), ["key", "class_a"]).join(of("b"), ["key", "class_b"])
+        .where(F.least("left_a", "left_b") >= least / 2 * (F.col("total_a") + F.col("total_b")))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    )
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, class_id (least id of its class), class_size, kept."""
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     weights = sketch(source)
-    marked = written(_signatures(source, weights))
+    marked = written(_signatures(source, weights, similarity))
     known = marked.where("id is not null and bands is not null").withColumn("first", F.col("bands")[0])
     # Equal words by 64 bits of their own and 64 of the first band, which only texts that are near copies could share.
     nodes = written(known.groupBy("digest", "first").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
@@ -211,7 +257,12 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     )
     apart = written(apart)
     more = written(_verified(apart, source, weights, similarity))
-    labels = components(links.unionByName(more))
+    links = links.unionByName(more)
+    labels = components(links)
+    unmet = written(_unmet(marked, nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class")), similarity))
+    rest = written(_verified(unmet, source, weights, similarity))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
     classes = nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("class_id"))
     out = (
         known.join(written(classes), ["digest", "first"]).select(F.col("id").alias("doc_id"), "class_id")

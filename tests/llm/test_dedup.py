@@ -117,6 +117,29 @@ def test_near_classes_equal_brute_force(docs, rows):
     assert all(found[d]["class_size"] == sizes[top(d)] and found[d]["kept"] == (d == top(d)) for d in ids)
 
 
+def test_near_pairs_in_a_template_family(spark):
+    """Form letters below the threshold to each other and to all hubs; pairs of them share one more slot."""
+    rng = np.random.default_rng(3)
+    letter = [f"t{i}" for i in range(204)]
+
+    def filled(slots):
+        out = list(letter)
+        for at, word in zip(range(20, 204, 40), slots):
+            out[at] = word
+        return " ".join(out)
+
+    new = lambda: f"s{rng.integers(1 << 60)}"
+    rows = [(i, filled([new() for _ in range(5)])) for i in range(600)]
+    for i in range(0, 200, 2):
+        shared = new()
+        rows[i], rows[i + 1] = [(k, filled([shared] + [new() for _ in range(4)])) for k in (i, i + 1)]
+    sets = shingle_sets(rows)
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) == pytest.approx(180 / 220)
+    assert len(sets[1] & sets[2]) / len(sets[1] | sets[2]) == pytest.approx(175 / 225)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 if i < 200 else i for i in range(600)}
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     found = near_dedup.near_classes(odd_docs).collect()
     assert len(found) == odd_docs.count()
