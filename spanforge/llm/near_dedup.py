@@ -18,7 +18,9 @@ the threshold passes too, so that weights lose no link). Classes are connected c
 What hubs do not join is found by an exact prefix filter. All texts order their shingles alike, the rarest of the sketch
 first. Up to the first shingle that two texts share, neither has any of the overlap, so a pair that reaches the threshold
 shares a shingle behind which both still have enough weight for it: one of the first tenth or so of the lighter text and
-of the first fifth of the other. Pairs of different classes that meet so are verified, all of them.
+of the first fifth of the other. The same holds of bare sets, with all weights 1, so that texts with equal shingles and
+different repetition, which seldom share a band, meet too. Pairs of different classes that meet by weights or by sets are
+verified, all of them.
 
 Edge cases: null text is empty; texts without words are alike to nothing; rows with a null id stand alone, with a null
 class; rows that repeat an id share its class; an empty table gives an empty result; other columns are not looked at.
@@ -131,14 +133,15 @@ def sketch(docs: DataFrame) -> Weights:
 
 
 def prefixes(h: np.ndarray, w: np.ndarray, at: np.ndarray, df: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's shingles, the rarest first, as long as those left have ``similarity`` of its weight: the prefixes'
-    offsets, shingles, weights left (with the shingle's own), and each text's whole weight."""
+    """Each text's shingles, the rarest first, as long as those left have ``similarity`` of its weight or number: the
+    prefixes' offsets, shingles, weights left (with the shingle's own), and each text's whole weight."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((df, text))  # equal ones by hash, as they come
     ends = np.append(0.0, np.cumsum(w[order]))
     left = ends[at[1:]][text] - ends[:-1]
     total = ends[at[1:]] - ends[at[:-1]]
-    some = left >= similarity * total[text] * (1 - SLACK)
+    number = np.diff(at)[text]
+    some = (left >= similarity * total[text] * (1 - SLACK)) | (at[1:][text] - np.arange(len(h)) >= similarity * number * (1 - SLACK))
     return np.append(0, np.cumsum(np.bincount(text[some], minlength=len(at) - 1))), h[order][some], left[some], total
 
 
@@ -164,10 +167,10 @@ def _signatures(docs: DataFrame, weights: Weights, similarity: float) -> DataFra
                 bands = pa.ListArray.from_arrays(bands.offsets, bands.values, mask=pa.array(np.diff(at) == 0))
                 ends, rare, left, total = prefixes(h, w, at, weigh.df(h), similarity)
                 of = lambda values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-                columns = [batch.column(0).slice(i, j - i), signed(digest), bands, of(signed(rare)), of(pa.array(left)), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "bands", "rare", "left", "total"])
+                columns = [batch.column(0).slice(i, j - i), signed(digest), bands, of(signed(rare)), of(pa.array(left)), pa.array(total), pa.array(np.diff(at))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "bands", "rare", "left", "total", "number"])
 
-    return docs.mapInArrow(rows, "id long, digest long, bands array<long>, rare array<long>, left array<double>, total double")
+    return docs.mapInArrow(rows, "id long, digest long, bands array<long>, rare array<long>, left array<double>, total double, number long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
@@ -205,20 +208,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: f
 def _unmet(marked: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b of nodes in different classes that may reach ``similarity``; ``classes``: node, class."""
     least = 2 * similarity / (1 + similarity) * (1 - SLACK)
+    prefix = F.posexplode(F.arrays_zip("rare", "left")).alias("at", "s")
     rows = (
-        marked.join(classes, F.col("id") == F.col("node"))
-        .select("node", "class", "total", F.explode(F.arrays_zip("rare", "left")).alias("s"))
-        .select(F.col("s.rare").alias("key"), "class", "node", F.col("s.left").alias("left"), "total", (F.col("s.left") >= least * F.col("total")).alias("early"))
+        marked.join(classes, F.col("id") == F.col("node")).select("node", "class", "total", "number", prefix)
+        .select(F.col("s.rare").alias("key"), "class", "node", F.col("s.left").alias("left"), "total", (F.col("number") - F.col("at")).alias("others"), "number")
+        .withColumn("early", (F.col("left") >= least * F.col("total")) | (F.col("others") >= least * F.col("number")))
     )
     alive = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("early")).where("low <> high and early")
     rows = written(rows.join(alive.select("key"), "key"))
     # Classes meet first, so that members of one class never do.
     held = written(rows.groupBy("key", "class").agg(F.max("early").alias("early")))
     meet = held.where("early").select("key", F.col("class").alias("class_a")).join(held.select("key", F.col("class").alias("class_b")), "key").where("class_a <> class_b")
-    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "early")])
+    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "others", "number", "early")])
+    reach = lambda left, total: F.least(f"{left}_a", f"{left}_b") >= least / 2 * (F.col(f"{total}_a") + F.col(f"{total}_b"))
     return (
         meet.join(of("a").where("early_a"), ["key", "class_a"]).join(of("b"), ["key", "class_b"])
-        .where(F.least("left_a", "left_b") >= least / 2 * (F.col("total_a") + F.col("total_b")))
+        .where(reach("left", "total") | reach("others", "number"))
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     )
 

@@ -140,6 +140,17 @@ def test_near_pairs_in_a_template_family(spark):
     assert found == {i: i - i % 2 if i < 200 else i for i in range(600)}
 
 
+def test_near_copies_that_repeat(spark):
+    """A text and the same text written many times have nearly equal sets and far weights."""
+    rng = np.random.default_rng(4)
+    once = [" ".join(f"w{k}" for k in rng.integers(1 << 40, size=204)) for _ in range(12)]
+    rows = [(2 * i + k, t) for i, text in enumerate(once) for k, t in enumerate((text, " ".join([text] * (10 if i % 2 else 30))))]
+    sets = shingle_sets(rows)
+    assert all(len(sets[i] & sets[i + 1]) >= 0.95 * len(sets[i] | sets[i + 1]) for i in range(0, 24, 2))
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(24)}
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     found = near_dedup.near_classes(odd_docs).collect()
     assert len(found) == odd_docs.count()
