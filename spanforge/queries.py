@@ -574,6 +574,14 @@ def sampling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(runs.select("sample_idx", "flag", F.col("qoi")[0].alias("qoi")))
 
 
+@query(_P_SQL + " SELECT sample_idx, 0::BIGINT AS flag, round(-1.0 + 2.0 * u0 + 2 * (3.0 * u1), 6) + 0.0 AS qoi FROM p")
+def sampling_runs_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study, a run for every order's sample."""
+    samples = params.uniform_space(["a", "b"], [-1.0, 0.0], [1.0, 3.0]).samples(germ_p(spark, sf_dir, 2))
+    runs = run_samples(_Sum(), samples)
+    return emitted(runs.select("sample_idx", "flag", F.col("qoi")[0].alias("qoi")))
+
+
 @query(f"""WITH {T_SQL}, e AS (SELECT x, max(CASE WHEN s = 0 THEN val END) AS f, max(CASE WHEN s = 1 THEN val END) AS r FROM t WHERE var = 0 GROUP BY x)
 SELECT round(sqrt(sum((f - r) * (f - r))) / sqrt(sum(f * f)), 6) + 0.0 AS error FROM e""")
 def qoi_error(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,11 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in expected.fetchall())
 
 
+def test_every_order_is_run(spark, duck):
+    found = engine.queries()["sampling_runs_of_all_orders"](spark, SF).select("sample_idx").collect()
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in duck.sql("select o_orderkey from orders").fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(engine.queries()) - set(engine.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert engine.queries()[name](spark, SF).count() > 0
