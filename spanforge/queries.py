@@ -485,8 +485,8 @@ def ecsw_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ecsw_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewer equations than points: two modes, three snapshots."""
-    return emitted(ecsw.sample_mesh(scaled_t(spark, sf_dir, 3), scaled_t(spark, sf_dir, 2), 1e-4))
+    """Fewer equations than points: two modes, all seven snapshots."""
+    return emitted(ecsw.sample_mesh(scaled_t(spark, sf_dir), scaled_t(spark, sf_dir, 2), 1e-4))
 
 
 # Parameter spaces.
@@ -642,11 +642,22 @@ def greedy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams.
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(0, 4)) AS i, unnest([embedding[1], embedding[2], embedding[3], embedding[4]])::DOUBLE AS v FROM embeddings)
-SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
-def stream_gram_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, v: Column) -> DataFrame:
     schema = table(spark, sf_dir, "embeddings").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a file or a folder of files
     top = f"{shared_folder(spark)}/stream-{np.random.default_rng().integers(1 << 62):x}"
-    stream_gram(source.select(F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v")), f"{top}/sums", f"{top}/state").awaitTermination()
+    stream_gram(source.select(v.alias("v")), f"{top}/sums", f"{top}/state").awaitTermination()
     return emitted(streamed_gram(spark.read.parquet(f"{top}/sums")), 4)
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(0, 4)) AS i, unnest([embedding[1], embedding[2], embedding[3], embedding[4]])::DOUBLE AS v FROM embeddings)
+SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
+def stream_gram_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four components, as in its SQL."""
+    return _streamed(spark, sf_dir, F.slice(F.col("embedding").cast("array<double>"), 1, 4))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
+def stream_gram_of_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, F.col("embedding").cast("array<double>"))
