@@ -2,7 +2,9 @@
 
 A page is parsed into a tree with the usual repairs (implied ends, void and raw-text elements, a cut-off end). Elements
 that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments do not count. For every other node the density is its characters per tag, adjusted by its links:
+comments do not count. A class or id names them as a whole only: ``sidebar`` and ``cookie-notice`` do, ``no-sidebar`` and
+``page-header`` do not; nor does it where the element holds an ``article`` or ``main``, or, on a page with neither outside
+it, more than half of the text. For every other node the density is its characters per tag, adjusted by its links:
 
     d = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot "
@@ -42,8 +44,8 @@ ENDS = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-#: What is not main text, by element, by role, and by a word of the class or id.
-NOISE_TAGS = frozenset("head nav header footer aside form button select input textarea script style noscript iframe template svg math object dialog menu".split())
+#: What is not main text, by element, by role, and by the words of a class or id.
+NOISE_TAGS = frozenset("head nav header footer aside form button select input textarea script style noscript iframe template svg dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup "
@@ -55,25 +57,27 @@ _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I) for name in RAW}
 
 
-def _is_noise(tag: str, marks: str) -> bool:
+def _is_noise(tag: str, marks: str) -> tuple[bool, bool]:
+    """Whether an element is noise by itself, and whether a class or id names it so."""
     if tag in NOISE_TAGS:
-        return True
-    if not marks or tag in ("html", "body", "article", "main"):
-        return False
+        return True, False
+    named = False
+    if not marks or tag in ("html", "body"):
+        return False, False
     for name, value in _MARK.findall(marks):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if tag not in ("article", "main") and (name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true"):
+            return True, False
+        if name in ("class", "id"):
+            named |= any(NOISE_WORDS.issuperset(re.findall(r"[a-z0-9]+", one)) for one in value.split() if re.search(r"[a-z0-9]", one))
+    return False, named
 
 
 class _Page:
     """Nodes in page order; node 0 is the root. Only what is not noise has text."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.last, self.noise = ["#"], [-1], [0], [False]
+        self.tag, self.parent, self.last, self.noise, self.named = ["#"], [-1], [0], [False], [False]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self.block, self.open = 0, [0]
         at, end = 0, len(source)
@@ -87,6 +91,26 @@ class _Page:
             at = self._markup(source, mark)
         while self.open:
             self._close()
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Elements that a class or id names as noise become noise, but for those that hold the main text."""
+        n, parent = len(self.tag), self.parent
+        if not any(self.named):
+            return
+        # An article or main that is itself named so (a reader's comment) speaks for none of its parents.
+        core = [int(not self.noise[i] and not self.named[i] and self.tag[i] in ("article", "main")) for i in range(n)]
+        chars = [0] * n
+        for node, _, text in self.texts:
+            chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            core[parent[i]] += core[i]
+            chars[parent[i]] += chars[i]
+        for i in range(1, n):
+            if not self.noise[i]:
+                named = self.named[i] and self.tag[i] not in ("article", "main") and not core[i] and (core[0] > 0 or 2 * chars[i] <= chars[0])
+                self.noise[i] = self.noise[parent[i]] or named
+        self.texts = [t for t in self.texts if not self.noise[t[0]]]
 
     def _text(self, text: str) -> None:
         node = self.open[-1]
@@ -138,7 +162,9 @@ class _Page:
         self.tag.append(name)
         self.parent.append(up)
         self.last.append(0)
-        self.noise.append(self.noise[up] or _is_noise(name, marks))
+        noise, named = _is_noise(name, marks)
+        self.noise.append(self.noise[up] or noise)
+        self.named.append(named)
         self.open.append(len(self.tag) - 1)
         if name in VOID:
             self._close()

@@ -99,6 +99,22 @@ def test_densest_part_without_semantic_elements():
     assert len(text.split("\n")) == 8 and "topic" not in text and "imprint" not in text
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-header", "with-comments", "sidebar", "widget"])
+def test_wrappers_with_noisy_names_keep_their_article(name):
+    page = f'<body><div class="{name}"><article><h1 class="page-header">Title</h1><p>Some text of it.</p></article></div><div class="ad">Buy</div></body>'
+    assert html_extract.main_text(page) == "Title\nSome text of it."
+
+
+def test_most_of_a_page_is_not_noise_by_its_name():
+    page = f'<body><div id="overlay"><p>{"word " * 50}</p><p>more of it</p><div class="comments">No</div></div><div class="ad">Buy</div></body>'
+    assert html_extract.main_text(page).split() == ["word"] * 50 + ["more", "of", "it"]
+
+
+def test_formulas_and_objects_are_text():
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.<p><object data='a.swf'>A figure</object> here</article></body>"
+    assert html_extract.main_text(page) == "Let x=1 be.\nA figure here"
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(html_extract.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
