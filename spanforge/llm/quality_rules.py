@@ -42,7 +42,7 @@ def _shape_text(text: str) -> Column:
 
 def _with_features(df: DataFrame, buckets: int) -> DataFrame:
     """Adds ``features``, the buckets of all 1- and 2-grams of ``shapes``."""
-    df = df.withColumn("one", F.transform(native_words("shapes"), lambda w: F.hash(F.substring(w, 1, 12))))
+    df = df.withColumn("one", F.transform(native_words("shapes"), lambda w: F.hash(w)))
     return df.withColumn(
         "features",
         F.expr(f"""concat(

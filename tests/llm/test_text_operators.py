@@ -51,6 +51,13 @@ def test_ratio_equals_brute_force(spark, docs, rows, labels):
     assert len({r["kept"] for r in found.values()}) == 2
 
 
+def test_whole_shapes_are_hashed(spark):
+    """Words that differ after many signs only are different n-grams."""
+    shapes = spark.createDataFrame([("a/a/a/a/a/a/a/0",), ("a/a/a/a/a/a/a/A",)], "shapes string")
+    one, other = [r["features"] for r in quality_rules._with_features(shapes, 1 << 20).collect()]
+    assert one != other
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs, labels):
     trusted = quality_rules.trusted_documents(labels)
     found = quality_rules.quality_rules(odd_docs, trusted)
