@@ -12,7 +12,8 @@ mixture has the target weights.
 
 Orders are hashes, so a document finds its place alone: sums over hash buckets (at most some ``MOST_BUCKETS`` rows, or
 16 a source and block, whatever the input) give the prefix before a bucket, and only the bucket in which a budget ends is sorted. The hot source
-is spread over its buckets. Everything is built-in expressions; texts are not shuffled.
+is spread over its buckets. Everything is built-in expressions; texts are not shuffled. Up to ``MOST_SOURCES`` sources are
+planned on the driver and the plan is broadcast; of more, Spark sums up the shares and the plan is joined by a shuffle.
 
 Tokens are words and one for the end. Edge cases: null text has the end alone; null sources are one source; rows that
 repeat an id share its places, and stay or go together; an empty table gives an empty result; other columns stay.
@@ -21,6 +22,7 @@ repeat an id share its places, and stay or go together; an empty table gives an
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +58,17 @@ def entropy(weights: list[float]) -> float:
 
 def bisected(shares: list[float], max_repeats: float | None = None, entropy_share: float | None = None) -> float:
     """The exponent; repeats and entropy both fall as it grows."""
+    if len(shares) < 2:
+        return 0.0
     if entropy_share is not None:
         goal = entropy_share * math.log(len(shares))
-        enough = lambda e: entropy(tempered(shares, e)) <= goal
-    else:
-        enough = lambda e: repeats(shares, tempered(shares, e)) <= max_repeats
+        return _bisected(lambda e: entropy(tempered(shares, e)) <= goal)
+    return _bisected(lambda e: repeats(shares, tempered(shares, e)) <= max_repeats)
+
+
+def _bisected(enough: Callable[[float], bool]) -> float:
     low, high = 0.0, 1.0
-    if len(shares) < 2 or enough(low):
+    if enough(low):
         return low
     if not enough(high):
         return high
@@ -86,18 +92,21 @@ class Mixture:
         self.sized = written(docs.select(self.id.alias("__id"), self.source.alias("__source"), self.tokens.alias("__n")))
         totals = self.sized.groupBy("__source").agg(F.sum("__n").alias("__all"))
         rows = totals.limit(MOST_SOURCES + 1).collect()
-        if len(rows) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-        every = sum(r["__all"] for r in rows)
-        shares = [r["__all"] / every for r in rows]
-        self.exponent = bisected(shares, max_repeats, entropy_share) if rows else 1.0
-        self.weights = dict(zip((r["__source"] for r in rows), tempered(shares, self.exponent))) if rows else {}
-        norm = sum(s**self.exponent for s in shares) or 1.0
-        self.budget = budget or max((r["__all"] / w for r, w in zip(rows, self.weights.values())), default=0.0)
+        self.small = len(rows) <= MOST_SOURCES
+        if self.small:
+            every = sum(r["__all"] for r in rows)
+            shares = [r["__all"] / every for r in rows]
+            self.exponent = bisected(shares, max_repeats, entropy_share) if rows else 1.0
+            self.weights = dict(zip((r["__source"] for r in rows), tempered(shares, self.exponent))) if rows else {}
+            norm = sum(s**self.exponent for s in shares) or 1.0
+            self.budget = budget or max((r["__all"] / w for r, w in zip(rows, self.weights.values())), default=0.0)
+        else:
+            totals = written(totals)
+            every, norm = self._planned(totals, max_repeats, entropy_share, budget)
         self.bucket_tokens = max(BUCKET_TOKENS, every * max(1.0, self.budget / max(1, every)) / MOST_BUCKETS)
         weight = F.pow(F.col("__all") / F.lit(float(max(1, every))), F.lit(self.exponent)) / F.lit(norm)
         goal = F.greatest(F.lit(1), F.round(weight * F.lit(float(self.budget)))).cast("long")
-        # At most MOST_SOURCES rows, so the plan can be broadcast.
+        # At most MOST_SOURCES rows can be broadcast; see _hinted.
         self.plan = (
             totals.withColumn("__goal", goal)
             .withColumn("__epochs", F.ceil(F.col("__goal") / F.col("__all")).cast("int"))
@@ -110,7 +119,7 @@ class Mixture:
         self.prefix = written(sums.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).where("__before < __goal"))
         # The bucket in which the budget ends, and the last key that it takes there.
         ends = self.prefix.where(F.col("__before") + F.col("__n") >= F.col("__goal")).select("__source", "__epoch", "__bucket", "__before")
-        within = copies.join(F.broadcast(ends), ["__source", "__epoch", "__bucket"])
+        within = copies.join(self._hinted(ends), ["__source", "__epoch", "__bucket"])
         upto = W.partitionBy("__source").orderBy("__key")
         same = W.partitionBy("__source", "__key")
         within = within.withColumn("__start", F.col("__before") + F.sum("__n").over(upto) - F.sum("__n").over(same))
@@ -119,9 +128,37 @@ class Mixture:
             .agg(F.max("__key").alias("__last_key"), F.first("__epoch").alias("__last_epoch"), F.first("__bucket").alias("__last_bucket"))
         )
 
+    def _planned(self, totals: DataFrame, max_repeats: float | None, entropy_share: float | None, budget: float | None) -> tuple[float, float]:
+        """Exponent and budget by sums in Spark; returns all tokens and the norm. The weights stay in ``plan``."""
+        self.weights = None
+        n, every, least, most = totals.agg(F.count(F.lit(1)), F.sum("__all"), F.min("__all"), F.max("__all")).first()
+        share = F.col("__all") / F.lit(float(every))
+
+        def sums(e: float) -> tuple[float, float]:
+            power = F.pow(share, F.lit(e))
+            return tuple(totals.agg(F.sum(power), F.sum(power * F.log(share))).first())
+
+        def low_entropy(e: float) -> bool:
+            norm, logs = sums(e)
+            return math.log(norm) - e * logs / norm <= entropy_share * math.log(n)
+
+        # Only the least and the largest source decide how often one is repeated.
+        if n < 2:
+            self.exponent = 0.0
+        elif entropy_share is not None:
+            self.exponent = _bisected(low_entropy)
+        else:
+            self.exponent = _bisected(lambda e: (most / least) ** (1 - e) <= max_repeats)
+        norm = sums(self.exponent)[0]
+        self.budget = budget or every * norm * (most / every) ** (1 - self.exponent)
+        return every, norm
+
+    def _hinted(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.small else table
+
     def _copies(self, rows: DataFrame) -> DataFrame:
         """A row for each epoch that may take it, with its key and bucket there. ``rows``: __id, __source."""
-        rows = rows.join(F.broadcast(self.plan), "__source").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
+        rows = rows.join(self._hinted(self.plan), "__source").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
         key = _hash(F.lit(self.seed), F.col("__epoch"), F.col("__id"))
         return rows.withColumn("__key", key).withColumn("__bucket", F.floor(F.col("__key") / F.lit(_UNIT) * F.col("__buckets")).cast("long"))
 
@@ -130,7 +167,7 @@ class Mixture:
             (F.col("__epoch") < F.col("__last_epoch")) | (F.col("__bucket") < F.col("__last_bucket"))
             | (F.col("__bucket") == F.col("__last_bucket")) & (F.col("__key") <= F.col("__last_key"))
         )
-        return self._copies(rows).join(F.broadcast(self.cut), "__source").where(taken)
+        return self._copies(rows).join(self._hinted(self.cut), "__source").where(taken)
 
     def places(self) -> DataFrame:
         """Per copy: doc_id, source, epoch, block, place (its order within the block), n_tokens."""

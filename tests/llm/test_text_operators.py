@@ -171,6 +171,17 @@ def test_mixture_equals_brute_force(spark, docs, rows, goal):
     assert Counter(r["doc_id"] for r in plan.realised().collect()) == Counter(d for d, _ in expected.elements())
 
 
+@pytest.mark.parametrize("goal", [{"max_repeats": 2.0}, {"max_repeats": 1e9}, {"entropy_share": 0.95}])
+def test_many_sources_are_mixed_alike(docs, goal, monkeypatch):
+    few = mixing.Mixture(docs, **goal)
+    expected = sorted(map(str, few.places().collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    many = mixing.Mixture(docs, **goal)
+    assert many.exponent == pytest.approx(few.exponent, abs=2e-9) and many.budget == pytest.approx(few.budget)
+    assert sorted(map(str, many.places().collect())) == expected
+    assert many.realised().count() == len(expected)
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     plan = mixing.Mixture(odd_docs)
     assert plan.realised().columns == odd_docs.columns and plan.realised().count() == plan.places().count() >= odd_docs.count()
