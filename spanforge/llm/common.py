@@ -15,10 +15,12 @@ from spanforge.plans.storage import shared_folder, written
 #: The white space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_REGEX = r"[\x20\x09-\x0D]+"
 
-__all__ = ["Windows", "Words", "checkpointed", "chunks", "mix", "native_words", "shared_folder", "signed", "squeezed", "table", "texts_of", "without", "written"]
+__all__ = ["Windows", "Words", "checkpointed", "chunks", "mix", "native_words", "numbered", "shared_folder", "signed", "squeezed", "table", "texts_of", "without", "written"]
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (0x2F0B4C47, 0x5851F42D)  # of the two polynomials of a word
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _powers: dict[str, np.ndarray] = {}
@@ -36,11 +38,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
-    """The rows whose id is not in ``gone`` (one column), with all their columns, whatever these are called."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"))
-    gone = gone.select(F.col(gone.columns[0]).alias("__gone")).distinct()
-    return rows.join(gone, rows["__id"] == gone["__gone"], "left_anti").select("__row.*")
+def numbered(docs: DataFrame, **columns: Column) -> DataFrame:
+    """A written table of ``columns`` (none: all, as one column ``__row``) and ``row``, a number that no other row has.
+
+    Ids may be null or repeated; the number says which row is meant. It is stored, so that it stays the same whatever is
+    read or computed again, and rows with one id that stand later have larger numbers within a file.
+    """
+    chosen = [c.alias(name) for name, c in columns.items()] or [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")]
+    return written(docs.select(*chosen, F.monotonically_increasing_id().alias("row")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of a table ``numbered`` whose numbers are not in ``gone`` (row), with all their columns.
+
+    ``gone`` is written, so its size is known: small, it is broadcast; else the join shuffles.
+    """
+    gone = written(gone.select(F.col("row").alias("__gone")))
+    return rows.join(gone, rows["row"] == gone["__gone"], "left_anti").select("__row.*")
 
 
 def squeezed(text: Column | str) -> Column:
@@ -66,6 +80,15 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _field_power(base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo the prime, ``n`` at least."""
+    have = _powers.get(key := f"f{base}", np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME])
+    _powers[key] = have
+    return have
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -97,16 +120,21 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same wherever the word stands."""
-        n = len(self.data)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("p", _BASE, n), out=prefix[1:])
-        h = (prefix[self.ends] - prefix[self.starts]) * _power("i", _INVERSE, n)[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        """A 64-bit hash of each word, the same wherever the word stands: two polynomials over a prime field, mixed."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        length = self.ends - self.starts
+        off = np.cumsum(length) - length
+        at = np.arange(off[-1] + length[-1])
+        signs = self.data[at + np.repeat(self.starts - off, length)].astype(np.uint64) + np.uint64(1)
+        at -= np.repeat(off, length)
+        one, two = (np.add.reduceat(signs * _field_power(base, int(length.max()))[at], off) % _PRIME for base in _BASES)
+        return mix((one << np.uint64(31) | two) ^ mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 class Windows:
-    """Hashes of any runs of words, from one prefix sum."""
+    """Hashes of short runs of words, from one prefix sum modulo 2^64. Where long runs are to be told apart, the
+    operators take a digest of the words themselves."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)

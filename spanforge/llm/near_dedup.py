@@ -1,33 +1,38 @@
 """Near dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A shingle is five consecutive words (all words of a shorter text). Its weight in a document is
-``(1 + ln tf) * (1 + DAMPING * ln((N + 1) / (df + 1)) / ln(N + 1))``: the inverse document frequency is damped, so that
-0.8 in weights is close to 0.8 in shingles and a large group of copies, which makes its own shingles frequent, does not
-lose its links. Document frequencies come from a count-min sketch of fixed size over all documents, less the mean load
-of a cell; its error is a constant share of N, whatever N is.
-
-Texts with equal words are one node. ``BANDS`` x ``ROWS`` consistent weighted samples of each are banded (a pair of
-similarity 0.8 shares no band with a chance of 4e-5); two neighbouring bands together make as many finer ones, in which
-nodes meet those most like them. In a bucket, every node is paired with four hubs: those two that meet the most others in
-all their buckets, which lie in the middle of their group, and two by hashes that differ between bands. Buckets make
-stars, never all pairs, and a group is tied together through up to a hundred hubs. The middle ones of the first bands
-come first; of all others only pairs not yet in one class remain. All
-pairs are verified with the exact weighted Jaccard similarity of both whole texts (a pair whose bare shingle sets reach
-the threshold passes too, so that weights lose no link). Classes are connected components, found in Spark.
-
-What hubs do not join is found by an exact prefix filter. All texts order their shingles alike, the rarest of the sketch
-first. Up to the first shingle that two texts share, neither has any of the overlap, so a pair that reaches the threshold
-shares a shingle behind which both still have enough weight for it: one of the first tenth or so of the lighter text and
-of the first fifth of the other. The same holds of bare sets, with all weights 1, so that texts with equal shingles and
-different repetition, which seldom share a band, meet too. Pairs of different classes that meet by weights or by sets are
-verified, all of them.
-
-Edge cases: null text is empty; texts without words are alike to nothing; rows with a null id stand alone, with a null
-class; rows that repeat an id share its class; an empty table gives an empty result; other columns are not looked at.
+``(1 + DAMPING * ln tf) * (1 + DAMPING * ln((N + 1) / (df + 1)) / ln(N + 1))``. Both factors are damped, so that 0.8 in
+weights is close to 0.8 in shingles: a large group of copies, which makes its own shingles frequent, does not fall apart,
+nor does a text and the same text with its paragraphs repeated. Document frequencies come from a count-min sketch of
+fixed size over all documents, less the mean load of a cell; its error is a constant share of N, whatever N is.
+
+Texts with equal words (by 128 bits of BLAKE2b over them) are one node. ``BANDS`` x ``ROWS`` consistent weighted samples
+of each are banded (a pair of similarity 0.8 shares no band with a chance of 4e-5); two neighbouring bands together make
+as many finer ones, in which nodes meet those most like them. In a bucket of at most ``HUBS`` nodes all meet; in a larger
+one every node meets ``HUBS`` hubs: those two that meet the most others in all their buckets, which lie in the middle of
+their group, and two by hashes that differ between bands. Buckets make stars, never all pairs, and a group is tied
+together through up to a hundred hubs. The middle ones of the first bands come first; of all others only pairs not yet
+in one class remain. A pair is a link if the exact weighted Jaccard similarity of both whole texts reaches the threshold.
+Classes are connected components, found in Spark.
+
+What hubs leave apart is found by an exact prefix filter over the nodes of those buckets that hold more than one class
+then. All texts order their shingles alike, the rarest of the sketch first. Up to the first shingle that two texts share,
+neither has any of the overlap, so a pair that reaches the threshold shares a shingle behind which both still have enough
+weight for it: one of the first tenth or so of the lighter text and of the first fifth of the other. Pairs of different
+classes that meet so are verified, all of them. So no two texts that share a bucket stay apart wrongly.
+
+Verification reads a hub's text once for at most ``GROUP`` of its members, and deals these groups out, so that a hub of
+very many is no hot key.
+
+Edge cases: null text is empty; texts without words are alike to nothing. Rows are told apart by a number of their own:
+rows that repeat an id are judged by their texts; a class has the least id in it as its name (null if it has none but
+null ids) and keeps the row with that id, of several the one that is read first. An empty table gives an empty result;
+other columns are not looked at, and stay as they are where documents are returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, Words, chunks, mix, signed, without, written
+from .common import Windows, Words, chunks, mix, numbered, signed, without, written
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, FIRST_BANDS = 14, 3, 3
+HUBS, GROUP = 4, 64
 DAMPING = 0.05
 CELLS = 1 << 16  # of each of the two rows of the sketch
 SLACK = 1e-9  # for sums in another order
@@ -47,7 +53,7 @@ _SIZE = 1 << 16
 
 
 class Weights:
-    """Damped inverse document frequencies from the sketch."""
+    """Damped term and inverse document frequencies, the latter from the sketch."""
 
     def __init__(self, n_docs: int, cells: np.ndarray):
         self.n = max(1, n_docs)
@@ -59,16 +65,14 @@ class Weights:
 
     def of(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
         idf = 1 + DAMPING * np.log((self.n + 1) / (self.df(shingles) + 1)) / np.log(self.n + 1)
-        return (1 + np.log(tf)) * idf
+        return (1 + DAMPING * np.log(tf)) * idf
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different shingles and their counts, text after text, the texts' offsets in them, and a hash of all words."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingles, in order, and their counts, text after text, and the texts' offsets in them."""
     words = Words(data, offsets)
     n, first = len(words), words.first
     runs = Windows(words.hashes())
-    counts = np.diff(first)
-    digest = mix(runs.of(first[:-1], counts) ^ counts.astype(np.uint64))
     every = runs.of(np.arange(n - SHINGLE + 1), SHINGLE) if n >= SHINGLE else np.zeros(0, np.uint64)
     found, tf = [], []
     for b, e in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -80,7 +84,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         found.append(h)
         tf.append(c)
     at = np.append(0, np.cumsum([len(h) for h in found]))
-    return (np.concatenate(found), np.concatenate(tf), at, digest) if found else (every, every.astype(np.int64), at, digest)
+    return (np.concatenate(found), np.concatenate(tf), at) if found else (every, every.astype(np.int64), at)
 
 
 class Sampler:
@@ -110,13 +114,13 @@ class Sampler:
 
 
 def sketch(docs: DataFrame) -> Weights:
-    """``docs``: id, text. Document frequencies of all shingles; each task sends its cells' sums."""
+    """``docs``: text. Document frequencies of all shingles; each task sends its cells' sums."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(2 * CELLS, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, _, data, offsets in chunks(batch.column(1)):
+            for _, _, data, offsets in chunks(batch.column(0)):
                 h = shingles(data, offsets)[0]
                 cells[:CELLS] += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=CELLS)
                 cells[CELLS:] += np.bincount(((h >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -124,7 +128,7 @@ def sketch(docs: DataFrame) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(cells, n)[at])], ["cell", "n"])
 
     total, n_docs = np.zeros(2 * CELLS, float), 0
-    for cell, n in docs.mapInArrow(rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2 * CELLS + 1 rows at most
+    for cell, n in docs.select("text").mapInArrow(rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2 * CELLS + 1 rows at most
         if cell < 0:
             n_docs = n
         else:
@@ -133,154 +137,184 @@ def sketch(docs: DataFrame) -> Weights:
 
 
 def prefixes(h: np.ndarray, w: np.ndarray, at: np.ndarray, df: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's shingles, the rarest first, as long as those left have ``similarity`` of its weight or number: the
-    prefixes' offsets, shingles, weights left (with the shingle's own), and each text's whole weight."""
+    """Each text's shingles, the rarest first, as long as those left have ``similarity`` of its weight: the prefixes'
+    offsets, shingles, weights left (with the shingle's own), and each text's whole weight."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((df, text))  # equal ones by hash, as they come
     ends = np.append(0.0, np.cumsum(w[order]))
     left = ends[at[1:]][text] - ends[:-1]
     total = ends[at[1:]] - ends[at[:-1]]
-    number = np.diff(at)[text]
-    some = (left >= similarity * total[text] * (1 - SLACK)) | (at[1:][text] - np.arange(len(h)) >= similarity * number * (1 - SLACK))
+    some = left >= similarity * total[text] * (1 - SLACK)
     return np.append(0, np.cumsum(np.bincount(text[some], minlength=len(at) - 1))), h[order][some], left[some], total
 
 
-def _signatures(docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Per document: id, digest of its words, its bands' keys (null without words), and its prefix."""
+def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
+    """Per document: row, id, digest of its words, its bands' keys (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weigh = Sampler(BANDS * ROWS), shared.value
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(1)):
-                h, tf, at, digest = shingles(data, offsets)
+            for i, j, data, offsets in chunks(batch.column(2)):
+                h, tf, at = shingles(data, offsets)
                 some = np.flatnonzero(np.diff(at))
-                w = weigh.of(h, tf)
                 keys = np.zeros((j - i, BANDS), np.uint64)
                 if len(some):
-                    samples = sampler.sample(h, w, np.append(at[some], at[-1]))
+                    samples = sampler.sample(h, weigh.of(h, tf), np.append(at[some], at[-1]))
                     key = np.zeros((len(some), BANDS), np.uint64)
                     for k in range(ROWS):
                         key = mix(key * np.uint64(0x100000001B3) + samples[:, k::ROWS])
                     keys[some] = key
+                raw, ends = data.tobytes(), offsets.tolist()
+                digest = b"".join(hashlib.blake2b(b" ".join(raw[b:e].split()), digest_size=16).digest() for b, e in zip(ends[:-1], ends[1:]))
+                digest = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), signed(keys.ravel()))
                 bands = pa.ListArray.from_arrays(bands.offsets, bands.values, mask=pa.array(np.diff(at) == 0))
-                ends, rare, left, total = prefixes(h, w, at, weigh.df(h), similarity)
-                of = lambda values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-                columns = [batch.column(0).slice(i, j - i), signed(digest), bands, of(signed(rare)), of(pa.array(left)), pa.array(total), pa.array(np.diff(at))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "bands", "rare", "left", "total", "number"])
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(rows, "id long, digest long, bands array<long>, rare array<long>, left array<double>, total double, number long")
+    return docs.select("row", "id", "text").mapInArrow(rows, "row long, id long, d1 long, d2 long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Those of the pairs a, b whose weighted Jaccard similarity, or that of the bare sets, reaches ``similarity``."""
+    """Those of the pairs hub, member whose weighted Jaccard similarity reaches ``similarity``, as a, b."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group, the hub's text first."""
+        weigh, hub_h, hub_w = shared.value, np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch.column(3)):
+                h, tf, at = shingles(data, offsets)
+                w = weigh.of(h, tf)
+                hub, member = batch.column(0).slice(i, j - i).to_numpy(), batch.column(2).slice(i, j - i)
+                heads = np.flatnonzero(member.is_null().to_numpy(zero_copy_only=False))
+                good = []
+                for b, e in zip(np.append(-1, heads).tolist(), np.append(heads, j - i).tolist()):
+                    if b >= 0:
+                        hub_h, hub_w = h[at[b] : at[b + 1]], w[at[b] : at[b + 1]]
+                    if e == b + 1 or not len(hub_h):
+                        continue
+                    own, own_w = h[at[b + 1] : at[e]], w[at[b + 1] : at[e]]
+                    text = np.repeat(np.arange(e - b - 1), np.diff(at[b + 1 : e + 1]))
+                    place = np.minimum(np.searchsorted(hub_h, own), len(hub_h) - 1)
+                    both = np.where(hub_h[place] == own, np.minimum(own_w, hub_w[place]), 0.0)
+                    overlap = np.bincount(text, both, e - b - 1)
+                    total = np.bincount(text, own_w, e - b - 1) + hub_w.sum() - overlap
+                    good.append(b + 1 + np.flatnonzero(overlap >= similarity * total * (1 - SLACK)))
+                hub_h, hub_w = hub_h.copy(), hub_w.copy()
+                if good and len(good := np.concatenate(good)):
+                    yield pa.RecordBatch.from_arrays([pa.array(hub[good]), member.take(pa.array(good))], ["a", "b"])
+
+    groups = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("groups")))
+    dealt = pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("member"), "groups").alias("part"), "member")
+    dealt = written(dealt)
+    wanted = dealt.select("hub", "part", "member", F.col("member").alias("row")).unionByName(
+        dealt.groupBy("hub", "part").agg(F.first("hub").alias("row")).select("hub", "part", F.lit(None).cast("long").alias("member"), "row")
+    )
+    texts = wanted.join(docs.select("row", "text"), "row").select("hub", "part", "member", "text")
+    return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("member")).mapInArrow(rows, "a long, b long")
+
+
+def _unmet(docs: DataFrame, classes: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Pairs hub, member in different classes that may reach ``similarity``, of the nodes in ``classes`` (node, class)."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    least = 2 * similarity / (1 + similarity) * (1 - SLACK)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = shared.value
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
-                keys, weight, pair = [], [], []
-                for parts in ([(0, j - i, data, offsets)], chunks(batch.column(3).slice(i, j - i))):
-                    for lo, hi, own, own_offsets in parts:
-                        h, tf, at, _ = shingles(own, own_offsets)
-                        keys.append(h)
-                        weight.append(weigh.of(h, tf))
-                        pair.append(np.repeat(np.arange(lo, hi), np.diff(at)))
-                h, w, p = np.concatenate(keys), np.concatenate(weight), np.concatenate(pair)
-                order = np.lexsort((h, p))
-                h, w, p = h[order], w[order], p[order]
-                both = np.flatnonzero((h[1:] == h[:-1]) & (p[1:] == p[:-1]))
-                shared_weight = np.bincount(p[both], np.minimum(w[both], w[both + 1]), j - i)
-                total = np.bincount(p, w, j - i) - shared_weight
-                sets = np.bincount(p[both], minlength=j - i)
-                union = np.bincount(p, minlength=j - i) - sets
-                good = np.flatnonzero((total > 0) & ((shared_weight >= similarity * total * (1 - 1e-12)) | (sets >= similarity * union * (1 - 1e-12))))
-                if len(good):
-                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i).take(pa.array(good)) for k in (0, 1)], ["a", "b"])
-
-    left = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
-
-
-def _unmet(marked: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of nodes in different classes that may reach ``similarity``; ``classes``: node, class."""
-    least = 2 * similarity / (1 + similarity) * (1 - SLACK)
-    prefix = F.posexplode(F.arrays_zip("rare", "left")).alias("at", "s")
-    rows = (
-        marked.join(classes, F.col("id") == F.col("node")).select("node", "class", "total", "number", prefix)
-        .select(F.col("s.rare").alias("key"), "class", "node", F.col("s.left").alias("left"), "total", (F.col("number") - F.col("at")).alias("others"), "number")
-        .withColumn("early", (F.col("left") >= least * F.col("total")) | (F.col("others") >= least * F.col("number")))
-    )
-    alive = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("early")).where("low <> high and early")
-    rows = written(rows.join(alive.select("key"), "key"))
+                h, tf, at = shingles(data, offsets)
+                ends, rare, left, total = prefixes(h, weigh.of(h, tf), at, weigh.df(h), similarity)
+                text = np.repeat(np.arange(j - i), np.diff(ends))
+                own = [batch.column(k).slice(i, j - i).take(pa.array(text)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([signed(rare), *own, pa.array(left), pa.array(total[text])], ["key", "node", "class", "left", "total"])
+
+    texts = classes.join(docs.select("row", "text"), F.col("node") == F.col("row")).select("node", "class", "text")
+    rows = texts.mapInArrow(found, "key long, node long, class long, left double, total double").withColumn("early", F.col("left") >= least * F.col("total"))
+    rows = written(rows)
+    alive = written(rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("early")).where("low <> high and early").select("key"))
+    rows = written(rows.join(alive, "key"))
     # Classes meet first, so that members of one class never do.
     held = written(rows.groupBy("key", "class").agg(F.max("early").alias("early")))
     meet = held.where("early").select("key", F.col("class").alias("class_a")).join(held.select("key", F.col("class").alias("class_b")), "key").where("class_a <> class_b")
-    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "others", "number", "early")])
-    reach = lambda left, total: F.least(f"{left}_a", f"{left}_b") >= least / 2 * (F.col(f"{total}_a") + F.col(f"{total}_b"))
+    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "early")])
     return (
         meet.join(of("a").where("early_a"), ["key", "class_a"]).join(of("b"), ["key", "class_b"])
-        .where(reach("left", "total") | reach("others", "number"))
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        .where(F.least("left_a", "left_b") >= least / 2 * (F.col("total_a") + F.col("total_b")))
+        .select(F.least("node_a", "node_b").alias("hub"), F.greatest("node_a", "node_b").alias("member")).distinct()
     )
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, class_id (least id of its class), class_size, kept."""
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+def _classified(source: DataFrame, similarity: float) -> DataFrame:
+    """``source``: row, id, text. Per document row, id, class_id, class_size, kept."""
     weights = sketch(source)
-    marked = written(_signatures(source, weights, similarity))
-    known = marked.where("id is not null and bands is not null").withColumn("first", F.col("bands")[0])
-    # Equal words by 64 bits of their own and 64 of the first band, which only texts that are near copies could share.
-    nodes = written(known.groupBy("digest", "first").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")))
+    marked = written(_signatures(source, weights))
+    known = marked.where("bands is not null")
+    nodes = written(known.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands"), F.count(F.lit(1)).alias("copies")))
     finer = F.transform("bands", lambda key, i: F.xxhash64(key, F.get("bands", F.pmod(i + 1, F.lit(BANDS)))))
     banded = nodes.select("node", F.posexplode(F.concat("bands", finer)).alias("band", "key"))
     crowded = written(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = written(banded.join(crowded, ["band", "key"]))
     # How many a node meets in all its buckets: the nearer to the middle of its group, the more.
     central = written(members.groupBy("node").agg(F.sum("n").alias("met")))
-    ranked = members.join(central, "node").withColumn("hash", F.xxhash64("band", "node"))
+    ranked = members.where(F.col("n") > HUBS).join(central, "node").withColumn("hash", F.xxhash64("band", "node"))
     middle = F.shiftleft("met", 20) + F.pmod("hash", F.lit(1 << 20))
     half = F.pmod("hash", F.lit(2))
     chosen = [F.max_by("node", F.when(half == 0, middle)), F.max_by("node", F.when(half == 1, middle)), F.min_by("node", "hash"), F.max_by("node", "hash")]
-    hubs = written(ranked.groupBy("band", "key").agg(F.array(*chosen).alias("hubs")))
+    few = members.where(F.col("n") <= HUBS).groupBy("band", "key").agg(F.collect_list("node").alias("hubs"))  # HUBS at most
+    hubs = written(ranked.groupBy("band", "key").agg(F.array(*chosen).alias("hubs")).unionByName(few))
+    is_low = F.col("hub") < F.col("node")
     pairs = (
-        members.join(hubs, ["band", "key"]).select("node", "band", F.posexplode("hubs").alias("nth", "hub")).where("node <> hub")
-        .groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .agg(F.min((F.col("band") >= FIRST_BANDS) | (F.col("nth") > 1)).alias("later"))
+        members.join(hubs, ["band", "key"]).select("node", "band", "n", F.posexplode("hubs").alias("nth", "hub")).where("node <> hub")
+        .groupBy(F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high"))
+        .agg(
+            F.min((F.col("band") >= FIRST_BANDS) | (F.col("nth") > 1) & (F.col("n") > HUBS)).alias("later"),
+            F.sum(F.when(is_low, F.col("n")).otherwise(-F.col("n"))).alias("lean"),
+        )
+        .select(F.when(F.col("lean") >= 0, F.col("low")).otherwise(F.col("high")).alias("hub"), F.when(F.col("lean") >= 0, F.col("high")).otherwise(F.col("low")).alias("member"), "later")
     )
     pairs = written(pairs)
-    links = written(_verified(pairs.where("not later").select("a", "b"), source, weights, similarity))
+    links = written(_verified(pairs.where("not later").select("hub", "member"), source, weights, similarity))
     labels = components(links)
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
     apart = (
-        pairs.where("later").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        pairs.where("later").join(of("hub"), "hub", "left").join(of("member"), "member", "left")
+        .where(F.coalesce("of_hub", "hub") != F.coalesce("of_member", "member")).select("hub", "member")
     )
-    apart = written(apart)
-    more = written(_verified(apart, source, weights, similarity))
-    links = links.unionByName(more)
+    links = links.unionByName(written(_verified(written(apart), source, weights, similarity)))
     labels = components(links)
-    unmet = written(_unmet(marked, nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class")), similarity))
-    rest = written(_verified(unmet, source, weights, similarity))
-    if not rest.isEmpty():
-        labels = components(links.unionByName(rest))
-    classes = nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("class_id"))
+    class_of = F.coalesce("label", "node").alias("class")
+    sorted_out = members.where(F.col("n") > HUBS).join(labels, "node", "left").select("band", "key", "node", class_of)
+    mixed = written(sorted_out.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "key"))
+    suspects = written(sorted_out.join(mixed, ["band", "key"]).groupBy("node").agg(F.first("class").alias("class")))
+    if not suspects.isEmpty():
+        rest = written(_verified(written(_unmet(source, suspects, weights, similarity)), source, weights, similarity))
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
+    copied = nodes.where("copies > 1").select("d1", "d2", "node")
     out = (
-        known.join(written(classes), ["digest", "first"]).select(F.col("id").alias("doc_id"), "class_id")
-        .unionByName(marked.where("bands is null or id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
+        marked.select("row", "id", F.when(F.col("bands").isNotNull(), F.col("d1")).alias("d1"), "d2").join(copied, ["d1", "d2"], "left")
+        .select("row", "id", F.coalesce("node", "row").alias("node")).join(labels, "node", "left").select("row", "id", F.coalesce("label", "node").alias("class"))
     )
     out = written(out)
-    sizes = written(out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    return out.join(sizes, "class_id", "left").select(
-        "doc_id", "class_id", F.when(F.col("class_id").isNull(), 1).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
+    first = F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
+    classes = written(out.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), first).where("n > 1"))
+    return out.join(classes, "class", "left").select(
+        "row", "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"),
     )
 
 
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Per document: doc_id, class_id (least id of its class), class_size, kept."""
+    source = numbered(docs, id=F.col(doc_id).cast("long"), text=F.col(text))
+    return _classified(source, similarity).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the least id, with all columns."""
-    return without(docs, doc_id, near_classes(docs, doc_id, text, similarity).where(~F.col("kept")).select("doc_id"))
+    rows = numbered(docs)
+    source = rows.select("row", F.col(f"__row.`{doc_id}`").cast("long").alias("id"), F.col(f"__row.`{text}`").alias("text"))
+    return without(rows, _classified(source, similarity).where(~F.col("kept")))

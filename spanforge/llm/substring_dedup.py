@@ -10,14 +10,19 @@ A document is then factored greedily: a block that reads like an earlier one poi
 neighbouring blocks that point to neighbouring places merge into one factor (start, length, ref_doc_id, ref_start) of 20
 words or more. Where an anchor has blocks that read differently, that is, at the ends of factors, the windows of the
 first block of each reading are looked up one by one, so that no factor is cut short at a boundary. Factors' words are
-the duplicate spans. All keys are 128 bits of independent hashes, or 64 bits beside an equal anchor.
-
-Anchors, readings and windows with very many copies are pre-aggregated before each shuffle (only their first place is
-kept); the joins back are plain equi-joins with one row a key on the other side, which adaptive execution splits.
-
-Edge cases: null text has no words; texts of fewer than 20 words have no window; a null id comes before all others; rows
-with one id are judged as if the other rows of that id did not exist, except that each stands at the same place, so
-equal places are not earlier; an empty table gives an empty result; other columns are not looked at.
+the duplicate spans. Blocks and windows count as alike only if 128 bits of BLAKE2b over their words, joined by one space,
+are; quick hashes merely choose the anchors.
+
+Every row is a document of its own. Rows are numbered in the order of their ids, rows with one id in the order of their
+texts' xxhash64; a table that lies in order, each id once, is numbered as it lies, any other is sorted first. So rows that
+repeat an id, or have none, are judged by their texts like others. Anchors, readings and windows with very many copies are
+pre-aggregated before each shuffle (only their first place is kept); the joins back are plain equi-joins with one row a
+key on the other side, which adaptive execution splits.
+
+Edge cases: null text has no words; texts of fewer than 20 words have no window; a null id comes before all others; of
+rows with one id, and of whole rows that repeat, the one numbered first is the earlier; an empty table gives an empty
+result; other columns are not looked at. Of equal rows all but one lose every word that a window covers. Ids may be any 64-bit numbers; rows times the words of the longest text may be
+2^59.
 """
 
 from __future__ import annotations
@@ -30,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import Windows, Words, chunks, mix, signed, written
+from .common import Windows, Words, chunks, numbered, signed, written
 
 WINDOW, ANCHOR = 20, 6
 SPAN = WINDOW - ANCHOR + 1
-_K = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
 def _leftmost_minimum(v: np.ndarray, width: int) -> np.ndarray:
@@ -49,17 +54,31 @@ def _leftmost_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
+def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, Words]:
+    """The texts' words, one space between them, and where they are."""
+    raw, at = data.tobytes(), offsets.tolist()
+    texts = [b" ".join(raw[b:e].split()) for b, e in zip(at[:-1], at[1:])]
+    joined = b"".join(texts)
+    return joined, Words(np.frombuffer(joined, np.uint8), np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """128 bits of each span, as two columns."""
+    own = b"".join([hashlib.blake2b(raw[b:e], digest_size=16).digest() for b, e in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(own, np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def _anchored(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
-    """Blocks: anchor's hash, hash of the reading, packed place (row, first window, windows beyond the first)."""
+    """Blocks: anchor's hash, digest of the reading, packed place (rank, first window, windows beyond the first)."""
     for batch in batches:
-        rid = batch.column(0).to_numpy()
+        rank = batch.column(0).to_numpy()
         for i, _, data, offsets in chunks(batch.column(1)):
-            words = Words(data, offsets)
+            raw, words = _spaced(data, offsets)
             n = len(words)
             if n < WINDOW:
                 continue
-            hashes = words.hashes()
-            runs = Windows(hashes).of(np.arange(n - ANCHOR + 1), ANCHOR)
+            runs = Windows(words.hashes()).of(np.arange(n - ANCHOR + 1), ANCHOR)
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
             windows = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= words.first[1:][doc[: n - WINDOW + 1]])
             if not len(windows):
@@ -68,10 +87,9 @@ def _anchored(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Reco
             begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             a, q = windows[begins], at[begins]
             more = windows[np.append(begins[1:] - 1, len(windows) - 1)] - a
-            reading = Windows(mix(hashes ^ _K[0])).of(a, more + WINDOW)
-            reading = mix(reading ^ (more.astype(np.uint64) * _K[1] + (q - a).astype(np.uint64) * _K[2]))
-            place = (rid[i + doc[a]] << shift) | ((a - words.first[doc[a]]) << 4) | more
-            yield pa.RecordBatch.from_arrays([signed(runs[q]), signed(reading), signed(place)], ["h", "c", "pos"])
+            reading = _digests(raw, words.starts[a], words.ends[a + more + WINDOW - 1])
+            place = (rank[i + doc[a]] << shift) | ((a - words.first[doc[a]]) << 4) | more
+            yield pa.RecordBatch.from_arrays([signed(runs[q]), *reading, signed(place)], ["h", "c1", "c2", "pos"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +101,9 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the listed blocks: two hashes and its packed place."""
+    """Each window of the listed blocks: its digest and its packed place."""
     for batch in batches:
-        rid = batch.column(0).to_numpy()
+        rank = batch.column(0).to_numpy()
         places, row = _lists(batch.column(2))
         places = places.to_numpy()
         for i, j, data, offsets in chunks(batch.column(1)):
@@ -93,56 +111,86 @@ def _single_windows(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[p
             if not len(own):
                 continue
             doc = row[(row >= i) & (row < j)] - i
-            words = Words(data, offsets)
-            hashes = words.hashes()
+            raw, words = _spaced(data, offsets)
             n = (own & 15) + 1
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(doc, n)
             start = np.repeat((own & ((1 << shift) - 1)) >> 4, n) + step
             at = start + words.first[doc]
-            one, two = Windows(hashes).of(at, WINDOW), Windows(mix(hashes ^ _K[0])).of(at, WINDOW)
-            yield pa.RecordBatch.from_arrays([signed(one), signed(two), signed((rid[i + doc] << shift) | (start << 4))], ["h", "c", "pos"])
+            reading = _digests(raw, words.starts[at], words.ends[at + WINDOW - 1])
+            yield pa.RecordBatch.from_arrays([*reading, signed((rank[i + doc] << shift) | (start << 4))], ["c1", "c2", "pos"])
+
+
+_PART = 33  # a row's number is its partition's, then 33 bits within it
+
+
+def _in_order(source: DataFrame) -> tuple[list[tuple[int, int]], int] | None:
+    """(partition, rows before it) of a numbered table whose rows lie in the order of ids, each of which stands once, and
+    the longest text's bytes; None if they don't. Partitions, one a task that wrote them, may lie in any order among themselves."""
+    part = F.shiftright("row", _PART).alias("part")
+    before = F.lag("id").over(W.partitionBy("part").orderBy("row"))
+    steps = source.select(part, "row", "id", "size").withColumn("broken", F.col("id").isNull() | F.coalesce(before >= F.col("id"), F.lit(False)))
+    parts = steps.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("broken").alias("broken"), F.max("size").alias("size")).collect()
+    if any(p["broken"] for p in parts):
+        return None
+    parts.sort(key=lambda p: (p["low"], p["high"]))
+    if any(a["high"] >= b["low"] for a, b in zip(parts, parts[1:])):
+        return None
+    return _bases(parts)
+
+
+def _bases(parts: list) -> tuple[list[tuple[int, int]], int]:
+    total = np.cumsum([0] + [p["n"] for p in parts]).tolist()
+    return [(p["part"], t) for p, t in zip(parts, total)], max((p["size"] for p in parts), default=0)
 
 
 class _Parsed:
-    """The numbered documents and the places that repeat earlier ones."""
+    """The documents, ranked, and the places that repeat earlier ones."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
-        low, high, longest = docs.agg(F.min(doc_id), F.max(doc_id), F.max(F.octet_length(text))).first()
-        self.low = low or 0
-        self.shift = ((longest or 0) // 2 + 2).bit_length() + 4
-        if ((high or 0) - self.low + 2).bit_length() + self.shift > 63:
-            raise ValueError("ids and text lengths together need more than 63 bits; give ids that lie closer together")
-        rid = F.coalesce(F.col(doc_id) - F.lit(self.low) + 1, F.lit(0)).cast("long")
-        self.docs = docs.select(rid.alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        text = F.coalesce(F.col(text), F.lit(""))
+        columns = {"id": F.col(doc_id).cast("long"), "text": text, "size": F.octet_length(text)}
+        source = numbered(docs, **columns)
+        bases = _in_order(source)
+        if bases is None:
+            source = numbered(docs.select(*(c.alias(name) for name, c in columns.items())).orderBy(F.asc_nulls_first("id"), F.xxhash64("text")), **{name: F.col(name) for name in columns})
+            parts = source.groupBy(F.shiftright("row", _PART).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+            bases = _bases(sorted(parts.collect(), key=lambda p: p["part"]))
+        bases, longest = bases
+        self.shift = (longest // 2 + 2).bit_length() + 4
+        frame = source.sparkSession.createDataFrame(bases, "part long, base long")  # a row a partition
+        ranked = source.join(F.broadcast(frame), F.shiftright("row", _PART) == F.col("part"))
+        rank = (F.col("base") + F.col("row").bitwiseAND(F.lit((1 << _PART) - 1))).alias("rank")
+        if source.count().bit_length() + self.shift > 63:
+            raise ValueError("rows times the words of the longest text exceed 2^59")
+        self.docs = ranked.select(rank, F.col("id").alias("doc_id"), "text")
 
     def repeats(self) -> DataFrame:
         """pos, ref: packed places of blocks (or single windows) that read like an earlier place."""
-        shift, schema = self.shift, "h long, c long, pos long"
-        source = self.docs.select("rid", "text")
-        blocks = source.mapInArrow(lambda it: _anchored(it, shift), schema)
+        shift, alike = self.shift, ["c1", "c2"]
+        source = self.docs.select("rank", "text")
+        blocks = source.mapInArrow(lambda it: _anchored(it, shift), "h long, c1 long, c2 long, pos long")
+        differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
         index = written(  # an exchange of its own on either side of the join lets adaptive execution split hot anchors
-            blocks.groupBy("h")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.min("pos").alias("ref"))
-            .where("n > 1").select("h", "ref", (F.col("c_low") != F.col("c_high")).alias("differ"))
+            blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), differ.alias("differ"), F.min("pos").alias("ref")).where("n > 1").drop("n")
         )
         met = blocks.join(index, "h").where("differ or pos > ref")
-        met = written(met.select(*(F.when(F.col("differ"), F.col(x)).alias(x) for x in ("h", "c")), "pos", "ref", "differ"))
-        alike = met.where("not differ").select("pos", "ref")
-        unlike = met.where("differ").select("h", "c", "pos")
-        first = written(unlike.groupBy("h", "c").agg(F.min("pos").alias("ref")))
-        again = unlike.join(first, ["h", "c"]).where("pos > ref").select("pos", "ref")
+        met = written(met.select(*(F.when(F.col("differ"), F.col(x)).alias(x) for x in alike), "pos", "ref", "differ"))
+        same = met.where("not differ").select("pos", "ref")
+        unlike = met.where("differ").select(*alike, "pos")
+        first = written(unlike.groupBy(*alike).agg(F.min("pos").alias("ref")))
+        again = unlike.join(first, alike).where("pos > ref").select("pos", "ref")
         # The first block of each reading: its windows may be in blocks that read otherwise.
-        listed = first.select(F.shiftright("ref", shift).alias("rid"), "ref").groupBy("rid").agg(F.collect_list("ref").alias("places"))
-        windows = written(source.join(listed, "rid").mapInArrow(lambda it: _single_windows(it, shift), schema))
-        seen = written(windows.groupBy("h", "c").agg(F.min("pos").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        edges = windows.join(seen, ["h", "c"]).where("pos > ref").select("pos", "ref")
-        return alike.unionByName(again).unionByName(edges)
+        listed = written(first.groupBy(F.shiftright("ref", shift).alias("rank")).agg(F.collect_list("ref").alias("places")))
+        windows = written(source.join(listed, "rank").mapInArrow(lambda it: _single_windows(it, shift), "c1 long, c2 long, pos long"))
+        seen = written(windows.groupBy(*alike).agg(F.min("pos").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        edges = windows.join(seen, alike).where("pos > ref").select("pos", "ref")
+        return same.unionByName(again).unionByName(edges)
 
     def with_repeats(self) -> DataFrame:
         """The documents, each with its list of (pos, ref)."""
-        per_doc = self.repeats().groupBy(F.shiftright("pos", self.shift).alias("rid")).agg(F.collect_list("pos").alias("pos"), F.collect_list("ref").alias("ref"))
-        return self.docs.join(per_doc, "rid", "left")
+        per_doc = self.repeats().groupBy(F.shiftright("pos", self.shift).alias("rank")).agg(F.collect_list("pos").alias("pos"), F.collect_list("ref").alias("ref"))
+        return self.docs.join(per_doc, "rank", "left")
 
 
 def _factors(pos: np.ndarray, ref: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,23 +206,25 @@ def _factors(pos: np.ndarray, ref: np.ndarray, shift: int) -> tuple[np.ndarray,
     return start[begins], ends - start[begins], ref_row[begins], ref_start[begins]
 
 
-FACTOR_SCHEMA = "doc_id long, start long, length long, ref_doc_id long, ref_start long"
 REMOVAL_SCHEMA = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
 
 
 def factorise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The factors of all documents: doc_id, start and length in words, ref_doc_id and ref_start of the earlier place."""
     parsed = _Parsed(docs, doc_id, text)
-    shift, low = parsed.shift, parsed.low
+    shift = parsed.shift
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, pos, ref in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                start, length, ref_row, ref_start = _factors(np.array(pos), np.array(ref), shift)
-                whose = pa.array(ref_row + low - 1, mask=ref_row == 0)
-                yield pa.RecordBatch.from_arrays([pa.array([ident] * len(start), pa.int64()), pa.array(start), pa.array(length), whose, pa.array(ref_start)], ["doc_id", "start", "length", "ref_doc_id", "ref_start"])
-
-    return parsed.with_repeats().where("pos is not null").select("doc_id", "pos", "ref").mapInArrow(rows, FACTOR_SCHEMA)
+                start, length, ref_rank, ref_start = _factors(np.array(pos), np.array(ref), shift)
+                columns = [pa.array([ident] * len(start), pa.int64()), *map(pa.array, (start, length, ref_rank, ref_start))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ref_rank", "ref_start"])
+
+    found = parsed.with_repeats().where("pos is not null").select("doc_id", "pos", "ref")
+    found = found.mapInArrow(rows, "doc_id long, start long, length long, ref_rank long, ref_start long")
+    ids = parsed.docs.select(F.col("rank").alias("ref_rank"), F.col("doc_id").alias("ref_doc_id"))
+    return found.join(ids, "ref_rank").select("doc_id", "start", "length", "ref_doc_id", "ref_start")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

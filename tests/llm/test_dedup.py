@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import exact_dedup, graph, near_dedup, substring_dedup
 
@@ -17,20 +19,31 @@ def words(text):
     return [w for w in WS.split(text or "") if w]
 
 
-def without_repeats(rows):
-    seen, out = {}, {}
-    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+def remaining(rows):
+    """(id, number of words, number removed, digest of what stays) of each row; ``rows``: id, text, in order."""
+    seen, out = {}, []
+    for at, (doc_id, text, *_) in enumerate(rows):
         w = words(text)
         keep = [True] * len(w)
         for i in range(len(w) - 19):
             key = tuple(w[i : i + 20])
-            if seen.setdefault(key, (doc_id, i)) != (doc_id, i):
+            if seen.setdefault(key, (at, i)) != (at, i):
                 keep[i : i + 20] = [False] * 20
         kept = " ".join(x for x, k in zip(w, keep) if k)
-        out[doc_id] = (len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest())
+        out.append((doc_id, len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest()))
     return out
 
 
+def without_repeats(rows):
+    return {r[0]: r[1:] for r in remaining(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))}
+
+
+def in_order(df):
+    """id and text of each row in the order of substring dedup."""
+    rows = df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h").collect()
+    return sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_substrings_equal_brute_force(spark, seed):
     rows = corpus(seed)
@@ -53,18 +66,49 @@ def test_factors_are_true_copies(spark, docs, rows):
     assert all(len(covered[d]) == expected[d][1] for d in text)
 
 
+def found_remaining(df):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect())
+
+
 def test_substrings_odd_rows(spark, odd_docs, no_docs):
     found = substring_dedup.remove_repeats(odd_docs, with_text=True).collect()
-    assert len(found) == odd_docs.count()
-    expected = without_repeats([tuple(r)[:2] for r in odd_docs.select("doc_id", "text").distinct().collect() if r[0] is not None])
-    for r in found:
-        if r["doc_id"] is not None:
-            assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == expected[r["doc_id"]]
-            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == Counter(remaining(in_order(odd_docs)))
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in found)
     assert substring_dedup.remove_repeats(no_docs).count() == 0 and substring_dedup.factorise(no_docs).count() == 0
-    wide = spark.createDataFrame([(-(2**62), "a " * 30), (2**62, "b " * 30)], "doc_id long, text string")
-    with pytest.raises(ValueError, match="63 bits"):
-        substring_dedup.remove_repeats(wide)
+
+
+def test_substrings_of_repeated_null_and_wide_ids(spark):
+    passage = lambda k: " ".join(f"{k}-{i}" for i in range(25))
+    rows = [(1, passage("P")), (5, passage("P")), (5, passage("U"))]
+    rows += [(None, passage("A") + " x " + passage("P")), (None, passage("A")), (None, passage("B")), (None, None)]
+    rows += [(-(2**63), passage("low")), (2**63 - 1, passage("low")), (2**62, passage("B")), (-(2**62), passage("U") + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found_remaining(df) == Counter(remaining(in_order(df)))
+    untouched = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()}
+    assert untouched == {(1, 0), (5, 25), (5, 0)}
+
+
+def thue_morse(bits, a, b):
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(1 << bits)]
+
+
+def test_words_of_the_same_polynomial_are_told_apart(spark):
+    """Two sequences that any polynomial modulo 2^64 maps to one number, as signs of a word and as words of a text."""
+    one, other = "".join(thue_morse(11, "a", "b")), "".join(thue_morse(11, "b", "a"))
+    around = [f"w{i}" for i in range(26)]
+    df = spark.createDataFrame([(1, " ".join([*around[:13], one, *around[13:]])), (2, " ".join([*around[:13], other, *around[13:]]))], "doc_id long, text string")
+    assert found_remaining(df) == Counter(remaining(in_order(df)))
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()} == {0}
+    texts = spark.createDataFrame([(1, " ".join(thue_morse(12, "aa", "bb"))), (2, " ".join(thue_morse(12, "bb", "aa")))], "doc_id long, text string")
+    assert found_remaining(texts) == Counter(remaining(in_order(texts)))
+
+
+@pytest.mark.parametrize("order", [["doc_id"], ["text"]])
+def test_substrings_whatever_the_order_of_rows(spark, docs, rows, order):
+    found = substring_dedup.remove_repeats(docs.repartition(3).sortWithinPartitions(*order))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()} == without_repeats(rows)
+    lying = docs.orderBy("doc_id")
+    assert substring_dedup._in_order(substring_dedup.numbered(lying.select(F.col("doc_id").alias("id"), "text"), id=F.col("id"), text=F.col("text"), size=F.octet_length("text"))) is not None
 
 
 def test_exact_equals_sql(spark, docs, rows):
@@ -80,13 +124,24 @@ def test_exact_equals_sql(spark, docs, rows):
 
 def test_exact_odd_rows(odd_docs, no_docs):
     found = exact_dedup.exact_dedup(odd_docs).collect()
-    assert len(found) == odd_docs.count() and sum(r["kept"] for r in found) >= len({r["text_sha256"] for r in found})
+    assert len(found) == odd_docs.count() and sum(r["kept"] for r in found) == len({r["text_sha256"] for r in found})
     stay = exact_dedup.drop_exact_copies(odd_docs)
     assert stay.columns == odd_docs.columns
-    assert {re.sub(WS, "", r["text"] or "") for r in stay.collect()} == {re.sub(WS, "", r["text"] or "") for r in odd_docs.collect()}
+    left = [re.sub(WS, "", r["text"] or "") for r in stay.collect()]
+    assert sorted(left) == sorted({re.sub(WS, "", r["text"] or "") for r in odd_docs.collect()})
     assert exact_dedup.exact_dedup(no_docs).count() == 0 and exact_dedup.drop_exact_copies(no_docs).columns == no_docs.columns
 
 
+def test_exact_drops_rows_not_ids(spark):
+    rows = [(1, "alpha beta"), (1, "gamma delta"), (7, "gamma  delta   "), (9, "same row"), (9, "same row"), (None, "no id"), (None, "no id"), (None, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = [(1, "alpha beta"), (7, "gamma  delta   "), (9, "same row"), (None, "no id"), (None, "other")]
+    for options in ({}, {"heavy": 1, "tracked": 4}):
+        assert sorted(map(tuple, exact_dedup.drop_exact_copies(df, **options).collect()), key=repr) == sorted(expected, key=repr)
+    kept = [r["text_sha256"] for r in exact_dedup.exact_dedup(df).collect() if r["kept"]]
+    assert len(kept) == len(set(kept)) == 5
+
+
 def shingle_sets(rows):
     out = {}
     for doc_id, text, *_ in rows:
@@ -151,9 +206,31 @@ def test_near_copies_that_repeat(spark):
     assert found == {i: i - i % 2 for i in range(24)}
 
 
+def test_near_drops_rows_not_ids(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: [f"w{k}" for k in rng.integers(1 << 40, size=100)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    u, v, x = text(), text(), text()
+    rows = [(None, " ".join(u)), (None, near(u)), (4, " ".join(v)), (4, " ".join(x)), (9, near(x)), (None, near(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"], r["kept"]) for r in near_dedup.near_classes(df).collect())
+    assert found == sorted([(0, 0, 2, True), (0, 0, 2, False), (4, 4, 2, True), (4, 4, 2, True), (9, 4, 2, False), (0, 4, 2, False)])
+    left = near_dedup.drop_near_copies(df).collect()
+    assert len(left) == 3 and {(4, " ".join(v)), (4, " ".join(x))} <= set(map(tuple, left))
+
+
+def test_near_verifies_in_groups(spark):
+    """A hub of more members than a group holds, and texts that no batch holds together."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(base[:k] + [f"own{i}"] + base[k + 1 :])) for i, k in ((i, rng.randrange(60, 90)) for i in range(400))]
+    assert {r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     found = near_dedup.near_classes(odd_docs).collect()
     assert len(found) == odd_docs.count()
+    assert sum(r["kept"] for r in found) == near_dedup.drop_near_copies(odd_docs).count()
     assert all(r["class_id"] is None and r["kept"] and r["class_size"] == 1 for r in found if r["doc_id"] is None)
     assert near_dedup.drop_near_copies(odd_docs).columns == odd_docs.columns
     assert near_dedup.near_classes(no_docs).count() == 0 and near_dedup.drop_near_copies(no_docs).count() == 0
