@@ -11,12 +11,16 @@ into ``blocks`` pieces of equal shares, and block b of the mixture holds piece b
 mixture has the target weights.
 
 Orders are hashes, so a document finds its place alone: sums over hash buckets (at most some ``MOST_BUCKETS`` rows, or
-16 a source and block, whatever the input) give the prefix before a bucket, and only the bucket in which a budget ends is sorted. The hot source
-is spread over its buckets. Everything is built-in expressions; texts are not shuffled. Up to ``MOST_SOURCES`` sources are
-planned on the driver and the plan is broadcast; of more, Spark sums up the shares and the plan is joined by a shuffle.
+16 a source and block, whatever the input) give the prefix before a bucket, and only the bucket in which a budget ends is
+sorted, by key, after rows with one key are summed up. The hot source is spread over its buckets. Everything is built-in
+expressions. Up to ``MOST_SOURCES`` sources are planned on the driver; of more, Spark sums up the shares. Plans are
+written tables of a row a source, so their size is known: small ones are broadcast, larger ones joined by a shuffle.
+``places`` tells where each copy stands; ``realised`` returns the documents in the order of the mixture, by block and by
+place within it.
 
 Tokens are words and one for the end. Edge cases: null text has the end alone; null sources are one source; rows that
-repeat an id share its places, and stay or go together; an empty table gives an empty result; other columns stay.
+repeat an id share its places, and stay or go together; a null id stands for the text's md5, so that rows without ids are
+spread like others; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -85,15 +89,15 @@ class Mixture:
         self, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_repeats: float = MAX_REPEATS,
         entropy_share: float | None = None, budget: float | None = None, blocks: int = BLOCKS, seed: int = 0,
     ):
-        self.docs, self.id, self.seed, self.blocks = docs, F.col(doc_id), seed, blocks
+        self.docs, self.seed, self.blocks = docs, seed, blocks
+        self.name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
         self.source = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
         self.tokens = (F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
         # Ids, sources and counts alone; the texts are read once for it.
-        self.sized = written(docs.select(self.id.alias("__id"), self.source.alias("__source"), self.tokens.alias("__n")))
+        self.sized = written(docs.select(F.col(doc_id).alias("__id"), self.name.alias("__name"), self.source.alias("__source"), self.tokens.alias("__n")))
         totals = self.sized.groupBy("__source").agg(F.sum("__n").alias("__all"))
         rows = totals.limit(MOST_SOURCES + 1).collect()
-        self.small = len(rows) <= MOST_SOURCES
-        if self.small:
+        if len(rows) <= MOST_SOURCES:
             every = sum(r["__all"] for r in rows)
             shares = [r["__all"] / every for r in rows]
             self.exponent = bisected(shares, max_repeats, entropy_share) if rows else 1.0
@@ -106,7 +110,6 @@ class Mixture:
         self.bucket_tokens = max(BUCKET_TOKENS, every * max(1.0, self.budget / max(1, every)) / MOST_BUCKETS)
         weight = F.pow(F.col("__all") / F.lit(float(max(1, every))), F.lit(self.exponent)) / F.lit(norm)
         goal = F.greatest(F.lit(1), F.round(weight * F.lit(float(self.budget)))).cast("long")
-        # At most MOST_SOURCES rows can be broadcast; see _hinted.
         self.plan = (
             totals.withColumn("__goal", goal)
             .withColumn("__epochs", F.ceil(F.col("__goal") / F.col("__all")).cast("int"))
@@ -119,14 +122,22 @@ class Mixture:
         self.prefix = written(sums.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).where("__before < __goal"))
         # The bucket in which the budget ends, and the last key that it takes there.
         ends = self.prefix.where(F.col("__before") + F.col("__n") >= F.col("__goal")).select("__source", "__epoch", "__bucket", "__before")
-        within = copies.join(self._hinted(ends), ["__source", "__epoch", "__bucket"])
+        within = (
+            copies.join(ends, ["__source", "__epoch", "__bucket"]).groupBy("__source", "__epoch", "__bucket", "__key")
+            .agg(F.sum("__n").alias("__n"), F.first("__before").alias("__before"), F.first("__goal").alias("__goal"))
+        )
         upto = W.partitionBy("__source").orderBy("__key")
-        same = W.partitionBy("__source", "__key")
-        within = within.withColumn("__start", F.col("__before") + F.sum("__n").over(upto) - F.sum("__n").over(same))
-        self.cut = written(
-            within.where("__start < __goal").groupBy("__source")
-            .agg(F.max("__key").alias("__last_key"), F.first("__epoch").alias("__last_epoch"), F.first("__bucket").alias("__last_bucket"))
+        within = within.withColumn("__start", F.col("__before") + F.sum("__n").over(upto) - F.col("__n"))
+        last = within.where("__start < __goal").groupBy("__source").agg(
+            F.max("__key").alias("__last_key"), F.first("__epoch").alias("__last_epoch"), F.first("__bucket").alias("__last_bucket")
+        )
+        # Where each block of a source begins: at most ``blocks`` entries.
+        block = F.least(F.lit(blocks - 1), F.floor(F.col("__before") * F.lit(float(blocks)) / F.col("__goal"))).cast("int")
+        begins = (
+            self.prefix.groupBy("__source", block.alias("block")).agg(F.min(F.struct("__epoch", "__bucket")).alias("at"))
+            .groupBy("__source").agg(F.collect_list(F.struct("at", "block")).alias("__begins"))
         )
+        self.cut = written(last.join(begins, "__source"))
 
     def _planned(self, totals: DataFrame, max_repeats: float | None, entropy_share: float | None, budget: float | None) -> tuple[float, float]:
         """Exponent and budget by sums in Spark; returns all tokens and the norm. The weights stay in ``plan``."""
@@ -153,36 +164,37 @@ class Mixture:
         self.budget = budget or every * norm * (most / every) ** (1 - self.exponent)
         return every, norm
 
-    def _hinted(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.small else table
-
     def _copies(self, rows: DataFrame) -> DataFrame:
-        """A row for each epoch that may take it, with its key and bucket there. ``rows``: __id, __source."""
-        rows = rows.join(self._hinted(self.plan), "__source").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
-        key = _hash(F.lit(self.seed), F.col("__epoch"), F.col("__id"))
+        """A row for each epoch that may take it, with its key and bucket there. ``rows``: __name, __source."""
+        rows = rows.join(self.plan, "__source").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
+        key = _hash(F.lit(self.seed), F.col("__epoch"), F.col("__name"))
         return rows.withColumn("__key", key).withColumn("__bucket", F.floor(F.col("__key") / F.lit(_UNIT) * F.col("__buckets")).cast("long"))
 
     def _taken(self, rows: DataFrame) -> DataFrame:
+        """The copies that the budgets take, with block and place."""
         taken = (
             (F.col("__epoch") < F.col("__last_epoch")) | (F.col("__bucket") < F.col("__last_bucket"))
             | (F.col("__bucket") == F.col("__last_bucket")) & (F.col("__key") <= F.col("__last_key"))
         )
-        return self._copies(rows).join(self._hinted(self.cut), "__source").where(taken)
+        here = F.struct(F.col("__epoch").alias("__epoch"), F.col("__bucket").alias("__bucket"))
+        block = F.array_max(F.transform(F.filter("__begins", lambda b: b["at"] <= here), lambda b: b["block"]))
+        place = _hash(F.lit(self.seed + 1), F.col("__epoch"), F.col("__name"))
+        return self._copies(rows).join(self.cut, "__source").where(taken).withColumn("__block", block).withColumn("__place", place)
 
     def places(self) -> DataFrame:
         """Per copy: doc_id, source, epoch, block, place (its order within the block), n_tokens."""
-        rows = self._taken(self.sized).join(self.prefix.select("__source", "__epoch", "__bucket", "__before"), ["__source", "__epoch", "__bucket"])
-        block = F.least(F.lit(self.blocks - 1), F.floor(F.col("__before") * F.lit(float(self.blocks)) / F.col("__goal"))).cast("int")
-        return rows.select(
-            F.col("__id").alias("doc_id"), F.when(F.col("__source") != "null", F.substring("__source", 2, 1 << 30)).alias("source"),
-            F.col("__epoch").alias("epoch"), block.alias("block"), _hash(F.lit(self.seed + 1), F.col("__epoch"), F.col("__id")).alias("place"), F.col("__n").alias("n_tokens"),
+        source = F.when(F.col("__source") != "null", F.substring("__source", 2, 1 << 30))
+        return self._taken(self.sized).select(
+            F.col("__id").alias("doc_id"), source.alias("source"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"),
+            F.col("__place").alias("place"), F.col("__n").alias("n_tokens"),
         )
 
     def realised(self) -> DataFrame:
-        """The documents, all columns, each as often as the mixture takes it."""
+        """The documents, all columns, each as often as the mixture takes it, in the mixture's order: partitions are
+        ranges of (block, place), sorted."""
         columns = F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("__row")
-        rows = self.docs.select(columns, self.id.alias("__id"), self.source.alias("__source"))
-        return self._taken(rows).select("__row.*")
+        rows = self._taken(self.docs.select(columns, self.name.alias("__name"), self.source.alias("__source")))
+        return rows.select("__row", "__block", "__place").repartitionByRange("__block", "__place").sortWithinPartitions("__block", "__place").select("__row.*")
 
 
 #: The mixture to the default repetition limit; there the exponent has a closed form.
