@@ -66,7 +66,7 @@ def squeezed(text: Column | str) -> Column:
 def native_words(text: Column | str) -> Column:
     """Words as an array, JVM side."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WS_REGEX), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS_REGEX), "")
 
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:

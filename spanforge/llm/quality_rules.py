@@ -1,17 +1,19 @@
 """Quality rules: countable base rules, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over ``buckets`` hashed n-grams are counted over whole tables: the trusted target (documents labelled
-quality 1) and the raw corpus (every document). A document's verdict is the mean over its n-grams of
-``ln p_target - ln p_raw``, compared with a fixed threshold. The n-grams (1 and 2) run over word shapes, in which runs
-of letters and digits are folded, so that the ratio carries over to words that the target has never had.
+quality 1) and the raw corpus (every document). N-grams are the whole words and pairs of neighbouring words; a word is
+hashed by crc32, a pair by ``PAIR * crc32(first) + crc32(second)``, both modulo ``buckets``. Every bucket has ``PSEUDO``
+n-grams of the raw corpus more than were counted, and the target's part of these, so that a bucket tells little until
+it is well filled, and a small target does not turn against what it merely has not had yet. A document's verdict is the mean over its n-grams of
+``ln p_target - ln p_raw``, held in whole millionths so that sums are exact in any order, against a fixed threshold.
 
 Everything is built-in expressions: counts are partial sums over at most ``buckets`` keys, the weights come back to the
 driver (``buckets`` numbers, whatever the input's size) and return as one array literal. What is joined with the target
-ids is the shapes alone, which compress to a few per cent of the texts.
+ids is the words' 32-bit hashes alone.
 
-Edge cases: null text is a text without words; a document without n-grams scores 0; without any trusted document all
-scores are 0 and only the base rules decide; an empty table gives an empty result; repeated rows are judged alike;
-a null id is never trusted; other columns are left alone.
+Edge cases: null text is a text without words; a document without words scores 0; without any trusted document all
+scores are 0 and only the base rules decide; an empty table gives an empty result; repeated rows are judged alike, and
+rows that repeat a trusted id are all of the target; a null id is never trusted; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,58 +25,51 @@ from pyspark.sql import functions as F
 
 from .common import native_words
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 16
+#: Multiplier of a pair's first word.
+PAIR = 40503
 #: A document stays if its mean log ratio is at least this. The raw corpus holds the target, so text of the target's
-#: kind scores a little over 0, while each n-gram of a kind that the target hardly has pulls down by several units.
-THRESHOLD = -0.3
-#: Pseudo-count of each bucket.
-SMOOTHING = 0.5
+#: kind scores about 0, while n-grams of a kind that the target hardly has pull down by units each.
+THRESHOLD = -0.08
+#: Pseudo-count of each bucket in the raw corpus.
+PSEUDO = 50
+MILLION = 1_000_000
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 
 
-def _shape_text(text: str) -> Column:
-    """Letters to a or A, digits to 0, runs folded."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    for pattern, to in ((r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{Nd}+", "0")):
-        t = F.regexp_replace(t, pattern, to)
-    return t
+def _features(hashes: str, buckets: int) -> Column:
+    """The buckets of all words and pairs of a column of words' hashes."""
+    pairs = f"""zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, greatest(size({hashes}) - 1, 0)),
+                         (a, b) -> cast(pmod({PAIR} * a + b, {buckets}) as int))"""
+    return F.expr(f"concat(transform({hashes}, a -> cast(pmod(a, {buckets}) as int)), {pairs})")
 
 
-def _with_features(df: DataFrame, buckets: int) -> DataFrame:
-    """Adds ``features``, the buckets of all 1- and 2-grams of ``shapes``."""
-    df = df.withColumn("one", F.transform(native_words("shapes"), lambda w: F.hash(w)))
-    return df.withColumn(
-        "features",
-        F.expr(f"""concat(
-            transform(one, a -> cast(pmod(a, {buckets}) as int)),
-            zip_with(slice(one, 1, greatest(size(one) - 1, 0)), slice(one, 2, greatest(size(one) - 1, 0)),
-                     (a, b) -> cast(pmod(hash(a, b), {buckets}) as int)))"""),
-    ).drop("one")
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
 
 
-def bucket_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """ln p_target - ln p_raw of each bucket. ``target``: the trusted documents' ids in a column ``doc_id``."""
+def bucket_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[int]:
+    """ln p_target - ln p_raw of each bucket, in millionths. ``target``: the trusted documents' ids in a column ``doc_id``."""
     trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn("trusted", F.lit(1))
-    shapes = docs.select(F.col(doc_id).alias("__id"), _shape_text(text).alias("shapes")).join(trusted, "__id", "left")
+    hashed = docs.select(F.col(doc_id).alias("__id"), _hashes(native_words(text)).alias("hashes")).join(trusted, "__id", "left")
     counts = (
-        _with_features(shapes.select("shapes", "trusted"), buckets)
-        .select("trusted", F.explode_outer("features").alias("bucket"))  # explode would push a filter on features below the join
+        hashed.select("trusted", F.explode_outer(_features("hashes", buckets)).alias("bucket"))  # explode would push a filter on it below the join
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.count("trusted").alias("n_target"))
-    )
+    )
     raw, aim = [0] * buckets, [0] * buckets
-    for bucket, n_raw, n_target in counts.where("bucket is not null").collect():
+    for bucket, n_raw, n_target in counts.where("bucket is not null").collect():  # ``buckets`` rows at most
         raw[bucket], aim[bucket] = n_raw, n_target
     if not any(aim):
-        return [0.0] * buckets
-    all_raw, all_aim = sum(raw) + SMOOTHING * buckets, sum(aim) + SMOOTHING * buckets
-    return [round(math.log((a + SMOOTHING) / all_aim) - math.log((r + SMOOTHING) / all_raw), 6) for a, r in zip(aim, raw)]
+        return [0] * buckets
+    share = sum(aim) / sum(raw)
+    return [math.floor(MILLION * (math.log((a + PSEUDO * share) / (r + PSEUDO)) - math.log(share)) + 0.5) for a, r in zip(aim, raw)]
 
 
 def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to all columns."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("__words", native_words(text)).withColumn("__lines", lines)
+    df = (docs if "__words" in docs.columns else docs.withColumn("__words", native_words(text))).withColumn("__lines", lines)
     df = (
         df.withColumn("n_words", F.size("__words").cast("long"))
         .withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
@@ -100,45 +95,42 @@ def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return df.withColumn("base_failed", failed).drop("__words", "__lines", "__hash", "__win")
 
 
+def _judged(docs: DataFrame, weights: list[int], buckets: int, threshold: float) -> DataFrame:
+    """Adds the base rules' columns, score and kept. ``docs`` has its text in a column ``text``."""
+    literal = "cast(split('" + ",".join(map(str, weights)) + "', ',') as array<bigint>)"
+    df = docs.withColumn("__words", native_words("text")).withColumn("__hashes", _hashes(F.col("__words"))).withColumn("__features", _features("__hashes", buckets))
+    df = df.withColumn("__sum", F.expr(f"aggregate(__features, 0L, (s, b) -> s + get({literal}, b))")).withColumn("__n", F.size("__features").cast("long"))
+    df = df.drop("__hashes", "__features")
+    score = F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n") / F.lit(float(MILLION))).otherwise(0.0)
+    df = base_rules(df).withColumn("score", score)
+    enough = F.col("__sum") >= F.lit(math.floor(threshold * MILLION + 0.5)) * F.col("__n")
+    return df.withColumn("kept", ~F.col("base_failed") & enough).drop("__sum", "__n")
+
+
 def quality_rules(
     docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     weights = bucket_weights(docs, target, doc_id, text, buckets)
-    literal = "cast(split('" + ",".join(f"{w:g}" for w in weights) + "', ',') as array<double>)"
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _shape_text(text).alias("shapes"))
-    df = _with_features(df, buckets)
-    total = F.expr(f"aggregate(features, 0D, (s, b) -> s + get({literal}, b))")
-    df = df.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0)).drop("features", "shapes")
-    df = base_rules(df)
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score",
-        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"),
-    )
+    judged = _judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), weights, buckets, threshold)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def keep_good(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the rules keep, with all their columns, decided row by row without a join."""
     weights = bucket_weights(docs, target, doc_id, text, buckets)
-    literal = "cast(split('" + ",".join(f"{w:g}" for w in weights) + "', ',') as array<double>)"
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(text).alias("text"), _shape_text(text).alias("shapes"))
-    df = _with_features(packed, buckets)
-    total = F.expr(f"aggregate(features, 0D, (s, b) -> s + get({literal}, b))")
-    df = df.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0)).drop("features", "shapes")
-    # A filter would be pushed into the steps above, which then nest and repeat; a column that is not deterministic,
-    # and that the filter reads, keeps it above them.
-    df = base_rules(df).withColumn("__step", F.monotonically_increasing_id())
-    return df.where(~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("__step") >= 0)).select("__row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("text"))
+    # Filters are not pushed below observed rows. Pushed, this one would repeat all steps in itself.
+    judged = _judged(packed, weights, buckets, threshold).select("__row", "kept").observe("quality", F.count(F.lit(1)).alias("n"))
+    return judged.where("kept").select("__row.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality") == 1).select("doc_id")
 
 
-#: The base rules alone; the verdict has no SQL form, as Spark's hash function is part of it.
-BASE_SQL = r"""
-WITH d AS (
+_BASE_CTES = r"""
+d AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -149,10 +141,43 @@ win AS (
 rep AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 cov AS (
-  SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id)"""
+_BASE_COLUMNS = """d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-       (len(w) < 10 OR 100 * coalesce(cov.n, 0) > 20 * len(w)) AS base_failed
+       (len(w) < 10 OR 100 * coalesce(cov.n, 0) > 20 * len(w)) AS base_failed"""
+
+#: The base rules alone.
+BASE_SQL = f"""
+WITH {_BASE_CTES}
+SELECT {_BASE_COLUMNS}
 FROM d LEFT JOIN cov USING (doc_id)
 """
+
+#: The whole query; crc32 is computed from its definition (polynomial 0xEDB88320), once for each different word.
+ORACLE_SQL = f"""
+WITH {_BASE_CTES},
+tab AS (
+  SELECT list(c ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM word)),
+bytes AS (SELECT word, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM hexed),
+crc AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS c FROM bytes, tab),
+one AS (SELECT doc_id, p, c, lead(c) OVER (PARTITION BY doc_id ORDER BY p) AS c2 FROM word JOIN crc USING (word)),
+gram AS (
+  SELECT doc_id, c % {BUCKETS} AS bucket FROM one UNION ALL SELECT doc_id, ({PAIR} * c + c2) % {BUCKETS} FROM one WHERE c2 IS NOT NULL),
+good AS (SELECT DISTINCT doc_id, 1 AS trusted FROM labels WHERE quality = 1),
+n AS (
+  SELECT r.range AS bucket, coalesce(n_raw, 0) AS r, coalesce(n_target, 0) AS a FROM range({BUCKETS}) r
+  LEFT JOIN (SELECT bucket, count(*) AS n_raw, count(trusted) AS n_target FROM gram LEFT JOIN good USING (doc_id) GROUP BY bucket) g ON g.bucket = r.range),
+s AS (SELECT *, (sum(a) OVER ())::DOUBLE / (sum(r) OVER ())::DOUBLE AS share FROM n),
+weight AS (
+  SELECT bucket, CASE WHEN share > 0 THEN floor({MILLION} * (ln((a + {PSEUDO} * share) / (r + {PSEUDO})) - ln(share)) + 0.5)::BIGINT ELSE 0 END AS weight FROM s),
+total AS (SELECT doc_id, sum(weight)::BIGINT AS total, count(*) AS grams FROM gram JOIN weight USING (bucket) GROUP BY doc_id),
+base AS (SELECT {_BASE_COLUMNS} FROM d LEFT JOIN cov USING (doc_id))
+SELECT base.*, coalesce(total::DOUBLE / grams / {MILLION}::DOUBLE, 0) AS score,
+       NOT base_failed AND coalesce(total, 0) >= {math.floor(THRESHOLD * MILLION + 0.5)} * coalesce(grams, 0) AS kept
+FROM base LEFT JOIN total USING (doc_id)
+"""

@@ -67,6 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_substring_dedup": substring_dedup.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL, "op2_quality_rules": quality_rules.ORACLE_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
     }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "labels", "pages"):
         duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, expected = llm.queries()[name](spark, SF), duck.sql(llm.oracle_sql()[name])
     columns = sorted(df.columns)

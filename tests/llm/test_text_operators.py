@@ -28,33 +28,34 @@ def test_base_rules_equal_sql(docs, rows, labels):
     assert sorted(map(tuple, found.select(*expected.columns).collect())) == sorted(expected.fetchall())
 
 
-def test_ratio_equals_brute_force(spark, docs, rows, labels):
-    """Buckets come from Spark's hash; counts, weights, means and verdicts are recomputed."""
-    buckets = 256
-    spark_side = quality_rules._with_features(docs.select("doc_id", quality_rules._shape_text("text").alias("shapes")), buckets)
-    features = {r["doc_id"]: r["features"] for r in spark_side.collect()}
-    shape = lambda w: re.sub(r"[0-9]+", "0", re.sub(r"[A-ZÀ-ÞĀ]+", "A", re.sub(r"[a-zß-ÿ]+", "a", w)))
-    n_words = {r[0]: len([w for w in re.split(r"[\x20\x09-\x0D]+", shape(r[1] or "")) if w]) for r in rows}
-    assert all(len(features[d]) == max(0, 2 * n - 1) for d, n in n_words.items())
+@pytest.mark.parametrize("buckets", [256, 1 << 12])
+def test_ratio_equals_brute_force(docs, rows, labels, buckets):
+    features = {}
+    for doc_id, text, *_ in rows:
+        crc = [zlib.crc32(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        features[doc_id] = [c % buckets for c in crc] + [(quality_rules.PAIR * a + b) % buckets for a, b in zip(crc, crc[1:])]
     trusted = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     raw, aim = Counter(), Counter()
     for d, f in features.items():
         raw.update(f)
         aim.update(f if d in trusted else [])
-    weight = [math.log((aim[b] + 0.5) / (sum(aim.values()) + 0.5 * buckets)) - math.log((raw[b] + 0.5) / (sum(raw.values()) + 0.5 * buckets)) for b in range(buckets)]
-    found = by_id(quality_rules.quality_rules(docs, quality_rules.trusted_documents(labels), buckets=buckets, threshold=-0.05))
-    for d, f in features.items():
-        score = sum(weight[b] for b in f) / len(f) if f else 0.0
-        assert abs(found[d]["score"] - score) < 1e-4
-        if abs(score + 0.05) > 1e-4:
-            assert found[d]["kept"] == (not found[d]["base_failed"] and score >= -0.05)
-    assert len({r["kept"] for r in found.values()}) == 2
-
-
-def test_whole_shapes_are_hashed(spark):
+    n_raw, n_aim = sum(raw.values()), sum(aim.values())
+    target = [(aim[b] + 50 * n_aim / n_raw) / (n_aim + buckets * 50 * n_aim / n_raw) for b in range(buckets)]
+    weight = [math.log(target[b]) - math.log((raw[b] + 50) / (n_raw + buckets * 50)) for b in range(buckets)]
+    scores = {d: sum(weight[b] for b in f) / len(f) if f else 0.0 for d, f in features.items()}
+    at = sorted(scores.values())[len(scores) // 2] + 1e-5
+    found = by_id(quality_rules.quality_rules(docs, quality_rules.trusted_documents(labels), buckets=buckets, threshold=at))
+    for d, score in scores.items():
+        assert abs(found[d]["score"] - score) < 2e-6
+        if abs(score - at) > 2e-6:
+            assert found[d]["kept"] == (not found[d]["base_failed"] and score >= at)
+    assert len({r["kept"] for r in found.values() if not r["base_failed"]}) == 2
+
+
+def test_whole_words_are_hashed(spark):
     """Words that differ after many signs only are different n-grams."""
-    shapes = spark.createDataFrame([("a/a/a/a/a/a/a/0",), ("a/a/a/a/a/a/a/A",)], "shapes string")
-    one, other = [r["features"] for r in quality_rules._with_features(shapes, 1 << 20).collect()]
+    texts = spark.createDataFrame([("a" * 5000 + "x",), ("a" * 5000 + "y",)], "text string")
+    one, other = [r["h"] for r in texts.select(quality_rules._hashes(quality_rules.native_words("text")).alias("h")).collect()]
     assert one != other
 
 
