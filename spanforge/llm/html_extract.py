@@ -1,21 +1,25 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree with the usual repairs (implied ends, void and raw-text elements, a cut-off end). Elements
-that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments do not count. A class or id names them as a whole only: ``sidebar`` and ``cookie-notice`` do, ``no-sidebar`` and
-``page-header`` do not; nor does it where the element holds an ``article`` or ``main``, or, on a page with neither outside
-it, more than half of the text. For every other node the density is its characters per tag, adjusted by its links:
+A page is parsed into a tree with the usual repairs (implied ends, void and raw-text elements, a cut-off end). Names are
+a prior that comes first: elements that by tag, role, class or id are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or comments do not count. A class or id names them as a whole only: ``sidebar`` and
+``cookie-notice`` do, ``no-sidebar`` and ``page-header`` do not; nor does it where the element holds an ``article`` or
+``main``, or, on a page with neither outside it, more than half of the text; a ``header`` within an ``article`` or
+``main`` is the article's own and counts. Which of the rest is the main text is decided by density alone. For every node
+it is its characters per tag, adjusted by its links:
 
     d = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
-(C characters, T tags below, LC and LT those in links; zeros count as 1.) The threshold is the least density on the path
-from the densest node up to the body. Of the nodes that reach it, the one whose children's densities have the largest
-sum is selected; if it stands inside an ``article`` or ``main`` element, the outermost of them is taken whole.
+(C characters, T tags below, LC and LT those in links; zeros count as 1.) A node's sum is that of the densities of its
+block-level children (blocks by kind or by holding one); text-level elements lend their characters and tags to the block
+they stand in. The threshold is the least density on the path from the densest block up to the body. Of the blocks that
+reach it, the one with the largest sum is selected, the outermost of equals. Within it, blocks of ``MENU_LINKS`` links or
+more that are below the threshold and hold hardly any text beside their links are menus, and left out.
 
 Text: character references decoded, white space in a block turned into one space, trimmed, blocks joined by one line
 feed; block-level elements and ``br`` end a block. Edge cases: null and empty pages, and pages without text, give an
-empty text; repeated rows are extracted each; nothing is cut, whatever the depth or length. Pages do not meet, so there
-is no shuffle.
+empty text; repeated rows are extracted each; nothing is cut, whatever the depth or length, and every step is linear in
+the page, however its tags are nested or left open. Pages do not meet, so there is no shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +57,8 @@ NOISE_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment "
     "comments disqus respond replies share sharing social related recommended widget toolbar pagination pager login signup search".split()
 )
+#: Links that make a block without other text a menu, and the part of its text that they are.
+MENU_LINKS, MENU_SHARE = 5, 0.9
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I) for name in RAW}
@@ -80,6 +87,7 @@ class _Page:
         self.tag, self.parent, self.last, self.noise, self.named = ["#"], [-1], [0], [False], [False]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self.block, self.open = 0, [0]
+        self.places: dict[str, list[int]] = defaultdict(list, {"#": [0]})  # of each name, where it stands in ``open``
         at, end = 0, len(source)
         while at < end:
             mark = source.find("<", at)
@@ -156,51 +164,55 @@ class _Page:
             self._end_open(*ENDS[name])
         if name in BLOCK:
             self.block += 1
-        if name in ("html", "body") and name in (self.tag[i] for i in self.open[:3]):
+        if name in ("html", "body") and self.places[name]:
             return
         up = self.open[-1]
         self.tag.append(name)
         self.parent.append(up)
         self.last.append(0)
         noise, named = _is_noise(name, marks)
+        if name == "header" and (self.places["article"] or self.places["main"]):
+            noise = False
         self.noise.append(self.noise[up] or noise)
         self.named.append(named)
+        self.places[name].append(len(self.open))
         self.open.append(len(self.tag) - 1)
         if name in VOID:
             self._close()
 
+    def _last(self, names: set[str]) -> int:
+        """Where the innermost open element of these names stands; -1 if none is open."""
+        return max((own[-1] for own in map(self.places.get, names) if own), default=-1)
+
     def _end_open(self, kinds: set[str], up_to: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[k]]
-            if name in kinds:
-                while len(self.open) > k:
-                    self._close()
-                return
-            if name in up_to:
-                return
+        at = self._last(kinds)
+        if at > self._last(up_to):
+            while len(self.open) > at:
+                self._close()
 
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self.block += 1
         if name in ("html", "body"):
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == name:
-                while len(self.open) > k:
-                    self._close()
-                return
+        if own := self.places.get(name):
+            at = own[-1]
+            while len(self.open) > at:
+                self._close()
 
     def _close(self) -> None:
         node = self.open.pop()
+        self.places[self.tag[node]].pop()
         self.last[node] = len(self.tag) - 1
         if self.tag[node] in BLOCK:
             self.block += 1
 
-    def main(self) -> int:
-        """The selected node."""
+    def densities(self) -> tuple[int, list[float], list[float], list[bool], list[bool]]:
+        """The body, and of each node its density, the sum of its block-level children's, and whether it is a block and
+        whether it is made of links."""
         n, parent = len(self.tag), self.parent
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+        in_link, block = [False] * n, [t in BLOCK for t in self.tag]
         for i in range(1, n):
             in_link[i] = self.tag[i] == "a" or in_link[parent[i]]
         for node, _, text in self.texts:
@@ -214,40 +226,50 @@ class _Page:
                 tags[up] += tags[i] + 1
                 link_chars[up] += link_chars[i]
                 link_tags[up] += link_tags[i] + link
+                block[up] = block[up] or (block[i] and self.tag[i] != "br")
         body = next((i for i in range(n) if self.tag[i] == "body"), 0)
         share = link_chars[body] / max(1, chars[body])
         density, total = [0.0] * n, [0.0] * n
-        for i in range(n - 1, 0, -1):
+        for i in range(n - 1, -1, -1):
             if not self.noise[i] and chars[i]:
                 c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
                 base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + math.e)
                 ratio = math.log(max(1.0, c / lc * t / lt))
                 density[i] = c / t * ratio / math.log(base) if base > 1.000001 and math.log(base) > 1e-6 else c / t * ratio
-                total[parent[i]] += density[i]
-        inside = range(body + 1, self.last[body] + 1)
-        densest = max(inside, key=lambda i: density[i], default=body)
+                if i and block[i]:
+                    total[parent[i]] += density[i]
+        links = [lt >= MENU_LINKS and lc >= MENU_SHARE * c for c, lc, lt in zip(chars, link_chars, link_tags)]
+        block[body] = True
+        return body, density, total, block, links
+
+    def main(self) -> tuple[int, list[tuple[int, int]]]:
+        """The selected node, and the menus in it: ranges of nodes."""
+        body, density, total, block, links = self.densities()
+        inside = [i for i in range(body, self.last[body] + 1) if block[i] and not self.noise[i]]
+        densest = max(inside, key=lambda i: (density[i], -i))
         threshold, at = density[densest], densest
         while at > body:
+            at = self.parent[at]
             threshold = min(threshold, density[at])
-            at = parent[at]
-        # A leaf has no children to sum over; its own text stands for them.
-        best = max((i for i in inside if density[i] >= threshold and density[i] > 0), key=lambda i: (total[i], -i), default=body)
+        best = max((i for i in inside if density[i] >= threshold), key=lambda i: (total[i], -i))
         if not total[best]:
-            best = parent[densest] if densest > body else body
-        at = best
-        while at > 0:
-            if self.tag[at] in ("article", "main"):
-                best = at
-            at = parent[at]
-        return best
+            best = body  # no block holds another one: all of the page's text stands side by side
+        menus, after = [], best
+        for i in inside:
+            if i > after and i <= self.last[best] and links[i] and density[i] < threshold:
+                menus.append((i, self.last[i]))
+                after = self.last[i]
+        return best, menus
 
     def text(self) -> str:
         if not any(t.strip() for _, _, t in self.texts):
             return ""
-        best = self.main()
+        best, menus = self.main()
         blocks: dict[int, list[str]] = {}
         for node, block, text in self.texts:
-            if best <= node <= self.last[best]:
+            while menus and menus[0][1] < node:
+                menus.pop(0)
+            if best <= node <= self.last[best] and not (menus and menus[0][0] <= node):
                 blocks.setdefault(block, []).append(text)
         lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(line for line in lines if line)
