@@ -123,6 +123,89 @@ def test_formulas_and_objects_are_text():
     assert html_extract.main_text(page) == "Let x=1 be.\nA figure here"
 
 
+def plain_choice(page):
+    """Densities from their definition over each node's descendants, and the node of the largest sum."""
+    n = len(page.tag)
+    below = [[j for j in range(i + 1, n) if i in up(page, j) and not page.noise[j]] for i in range(n)]
+    size = [sum(len("".join(t.split())) for node, _, t in page.texts if node == i) for i in range(n)]
+    in_link = [page.tag[i] == "a" or any(page.tag[j] == "a" for j in up(page, i)) for i in range(n)]
+    chars = [size[i] + sum(size[j] for j in below[i]) for i in range(n)]
+    link_chars = [sum(size[j] for j in [i, *below[i]] if in_link[j]) for i in range(n)]
+    link_tags = [sum(page.tag[j] == "a" for j in below[i]) for i in range(n)]
+    body = page.tag.index("body")
+
+    def density(i):
+        if page.noise[i] or not chars[i]:
+            return 0.0
+        c, t, lc, lt = chars[i], max(1, len(below[i])), max(1, link_chars[i]), max(1, link_tags[i])
+        base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + link_chars[body] / max(1, chars[body]) * c + math.e)
+        ratio = math.log(max(1.0, c / lc * t / lt))
+        return c / t * ratio / (math.log(base) if base > 1.000001 and math.log(base) > 1e-6 else 1.0)
+
+    d = [density(i) for i in range(n)]
+    block = [i == body or any(page.tag[j] in html_extract.BLOCK - ({"br"} if j != i else set()) for j in [i, *below[i]]) for i in range(n)]
+    total = [sum(d[j] for j in below[i] if page.parent[j] == i and block[j]) for i in range(n)]
+    inside = [i for i in [body, *below[body]] if block[i]]
+    path = [densest := max(inside, key=lambda i: (d[i], -i)), *[j for j in up(page, densest) if j >= body]]
+    best = max((i for i in inside if d[i] >= min(d[j] for j in path)), key=lambda i: (total[i], -i))
+    return d, total, best if total[best] else body
+
+
+def up(page, i):
+    out = []
+    while i > 0:
+        i = page.parent[i]
+        out.append(i)
+    return out
+
+
+def test_densities_equal_their_definition():
+    import pyarrow.parquet as pq
+
+    pages = [r for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if r] + [PAGE]
+    seen = 0
+    for source in pages:
+        page = html_extract._Page(source)
+        if page.texts and any(t.strip() for _, _, t in page.texts):
+            d, total, best = plain_choice(page)
+            _, density, sums, _, _ = page.densities()
+            assert density == pytest.approx(d) and sums == pytest.approx(total) and page.main()[0] == best
+            seen += 1
+    assert seen > 200
+
+
+def part(n, size, **marks):
+    return "".join(f"<p>{'word ' * size}{k}</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_density_chooses_between_unmarked_parts(first):
+    """Two parts, neither of them named: long paragraphs win over short teasers full of links, wherever they stand."""
+    story, teasers = part(6, 40), "".join(f'<p>see <a href="{k}">teaser {k} of the day</a> <a href="m{k}">more</a></p>' for k in range(8))
+    parts = [f"<div>{story}</div>", f"<div>{teasers}</div>"]
+    text = html_extract.main_text(f"<body>{''.join(parts if first else parts[::-1])}</body>")
+    assert len(text.split("\n")) == 6 and "teaser" not in text
+    # An article element is no ticket: the denser part is taken.
+    text = html_extract.main_text(f"<body><article>{teasers}</article><div>{story}</div></body>")
+    assert len(text.split("\n")) == 6 and "teaser" not in text
+
+
+def test_menus_in_main_and_headlines_in_headers():
+    links = "".join(f'<li><a href="{k}">topic {k}</a></li>' for k in range(20))
+    page = f"<body><main><header><h1>Title</h1></header>{part(5, 30)}<ul>{links}</ul></main><header>Site</header></body>"
+    lines = html_extract.main_text(page).split("\n")
+    assert lines[0] == "Title" and len(lines) == 6 and "topic" not in "".join(lines) and "Site" not in lines
+
+
+def test_open_tags_cost_nothing():
+    import time
+
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<p><button>" + "<b>" * 20_000 + "<p>x</p>" * 20_000, "<table>" * 20_000 + "<td>x" * 20_000):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 5
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(html_extract.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
@@ -235,6 +318,71 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(r["n_added"] == 0 for d, r in found.items() if d not in (100, 102))
 
 
+def plain_accepted(edges, support, confidence, rounds):
+    """Round by round: (pattern, kind) and confidence of what is accepted."""
+    under = {}
+    for pattern, instance, kind, seed in edges:
+        under.setdefault(pattern, []).append((instance, kind, seed))
+    kinds = {k for _, _, k, _ in edges if k >= 0}
+    good = {}
+    for _ in range(rounds):
+        def score(instance, kind, seed):
+            if seed:
+                return 1.0
+            misses = [1 - c for (p, k), c in good.items() if k == kind and any(i == instance and k2 == kind for i, k2, _ in under[p])]
+            return 1 - math.prod(misses)
+
+        now = {}
+        for p, own in under.items():
+            for k in kinds:
+                weight = sum(score(i, k2, seed) for i, k2, seed in own if k2 == k)
+                if weight >= support and weight / (len(own) + 1) >= confidence:
+                    now[p, k] = weight / (len(own) + 1)
+        if len(now) == len(good):
+            return now
+        good = now
+    return good
+
+
+def test_patterns_equal_a_plain_bootstrap(spark):
+    rng = np.random.default_rng(8)
+    rate, edges = rng.uniform(0.3, 1.0, 40), []
+    for i in range(1200):
+        home = int(rng.integers(40))
+        kind = home % 3 if rng.random() < 0.95 else -1
+        seed = kind >= 0 and bool(rng.random() < rate[home])
+        near = {home * 4 + int(rng.integers(4)) for _ in range(3)} | {(home + 3) % 39 * 4 + int(rng.integers(4))}
+        edges += [(p, i, kind, seed) for p in near]
+    expected = plain_accepted(edges, 3.0, 0.7, 8)
+    first = plain_accepted(edges, 3.0, 0.7, 1)
+    found = pii.accepted_patterns(spark.createDataFrame(edges, "pattern long, instance long, kind int, seed boolean"), 3.0, 0.7, 8).collect()
+    assert {(r["pattern"], r["kind"]) for r in found} == set(expected) and len(expected) > len(first) > 0
+    assert all(r["confidence"] == pytest.approx(expected[r["pattern"], r["kind"]], abs=1e-4) for r in found)
+
+
+def test_found_identifiers_bear_out_further_patterns(spark):
+    """Seeds accept one context; what it introduces accepts a second one, which introduces what no seed ever stood by."""
+    first = [(k, f"{'a' * (k % 7 + 1)} please write to user{k}@mail{k}.example.com now") for k in range(90)]
+    both = [(100 + k, f"{'b' * (k % 5 + 1)} please write to clerk{k}@intranet{k} now, or ask the office at clerk{k}@intranet{k} then") for k in range(12)]
+    last = [(200, "you may ask the office at desk@reception then"), (201, "nothing of desk@elsewhere here")]
+    found = by_id(pii.find_personal_data(spark.createDataFrame(first + both + last, "doc_id long, text string")))
+    assert found[200]["n_added"] == 1 and found[201]["n_added"] == 0 and all(found[100 + k]["n_added"] == 2 for k in range(12))
+    assert all(found[k]["n_added"] == 0 and found[k]["n_spans"] == 1 for k in range(90))
+
+
+def test_keys_by_their_context(spark):
+    key = lambda k, case=str: case(hashlib.sha1(str(k).encode()).hexdigest())
+    docs = [(k, f"{'x' * (k % 9 + 1)} token = \"{key(k)}\" here") for k in range(20)]
+    docs += [(100, f'so TOKEN = "{key(100, str.upper)}" it is'), (101, 'a token = "Zm9vYmFyQmF6MDEyMzQ1Njc4OQ==" too'), (102, f"built from {'a1b2c3d4e5' * 4} of the tree")]
+    docs += [(103, 'a token = "aa4111111111111111bb0c1d2e3f405162738495" here')]  # a card number within
+    found = by_id(pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")))
+    for d, text in docs:
+        start = text.find('"') + 1
+        own = "" if d == 102 else f"secret:{start}:{text.index(chr(34), start)}"
+        assert found[d]["spans"].split(",")[0] == own and found[d]["n_spans"] == (d != 102) + found[d]["n_card"]
+    assert found[103]["n_card"] == 1
+
+
 def test_personal_data_odd_rows(spark, odd_docs, no_docs):
     df = spark.createDataFrame([(1, "a@b.co 10.0.0.1 é +1 (017) 555-7713"), (1, "a@b.co 10.0.0.1 é +1 (017) 555-7713"), (2, None), (None, "c@d.ef")], "doc_id long, text string")
     found = pii.find_personal_data(df).collect()
