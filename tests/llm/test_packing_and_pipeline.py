@@ -70,6 +70,72 @@ def test_all_capacities_bind():
     assert [len(x) for x in packing.pack(np.zeros(0, int), (10, 10, 100))] == [0, 0]
 
 
+def plain_best_fit(lengths, capacity, policy):
+    """The same in whole numbers, piece by piece over all sequences."""
+    n, cap = len(lengths), [float(c) for c in capacity]
+    need = [(x, 1, x * x) for x in lengths]
+    mean = [sum(v[d] / cap[d] for v in need) / n for d in range(3)]
+    weight = [m / sum(mean) for m in mean]
+    used, out = [], [None] * n
+    for i in sorted(range(n), key=lambda i: (-lengths[i], i)):
+        best = None
+        for q, u in enumerate(used):
+            if all(u[d] + need[i][d] <= cap[d] for d in range(3)):
+                left = [(cap[d] - u[d]) / cap[d] for d in range(3)]
+                v = [need[i][d] / cap[d] for d in range(3)]
+                cost = sum(w * (x - y) ** 2 for w, x, y in zip(weight, left, v)) if policy == "norm" else -sum(w * x * y for w, x, y in zip(weight, left, v))
+                if best is None or cost < best[0] - packing.TIE:
+                    best = (cost, q)
+        if best is None:
+            used.append([0, 0, 0])
+            best = (0.0, len(used) - 1)
+        u = used[best[1]]
+        out[i] = (best[1], u[0])
+        for d in range(3):
+            u[d] += need[i][d]
+    return out
+
+
+@pytest.mark.parametrize("policy", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(1000, 1000, 10**6), (1000, 12, 10**6), (1000, 30, 300_000), (4096, 4096, 4096**2)])
+def test_placement_equals_plain_best_fit(policy, capacity):
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        lengths = np.minimum(500, np.ceil(rng.lognormal(3.5, 1.3, 250)).astype(int))
+        sequence, offset = packing.pack(lengths, capacity, policy)
+        assert list(zip(sequence.tolist(), offset.tolist())) == plain_best_fit(lengths.tolist(), capacity, policy)
+
+
+def test_default_limits_bind_and_cost_no_sequence():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    lengths = np.append(rng.integers(500, 3000, 300), np.ones(2000, int))
+    rows = pd.DataFrame({"doc_id": range(len(lengths)), "piece": 0, "start": 0, "length": lengths, "ids_crc32": 0, "shard": 0})
+    free, _ = packing.pack(np.sort(lengths)[::-1], (4096.0, 4096.0, 4096.0**2))
+    found = packing.packer(4096, None, None, "norm")((0,), rows)
+    most = found.groupby("sequence_id").size().max()
+    assert found["sequence_id"].nunique() == free.max() + 1 and most < np.bincount(free).max()
+    assert packing.packer(4096, 5, None, "norm")((0,), rows).groupby("sequence_id").size().max() == 5
+
+
+def test_other_tokenizers_encode_whole_texts(spark, rows):
+    """One that keeps case and white space is not taken word by word."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [(r[0], r[1]) for r in rows[:60]] + [(10**6, "Keeps CASE.  And   spaces ."), (10**6 + 1, None)]
+    found = packing.best_fit(spark.createDataFrame(texts, "doc_id long, text string"), path).collect()
+    got = {r["doc_id"]: r["ids_crc32"] for r in found if r["piece"] == 0 and r["length"] < 4096}
+    for d, t in texts:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        if len(ids) < 4096:
+            assert got[d] == zlib.crc32(ids.tobytes())
+    assert packing.WordEncoder.of(word_tokenizer()).wordwise and not packing.WordEncoder.of(path).wordwise
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     found = packing.best_fit(odd_docs, word_tokenizer()).collect()
     assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in found}) == len(found) >= odd_docs.count()
