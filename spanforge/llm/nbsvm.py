@@ -1,17 +1,19 @@
 """Quality classifier: a linear support vector machine over n-gram indicators scaled by naive Bayes log-count ratios.
 
 Features are indicators of hashed word 1- and 2-grams and, so that unseen words count too, of 1- and 2-grams of word
-shapes (runs of letters and digits folded, at most 8 signs). ``r = ln((p / |p|) / (q / |q|))`` with ``p`` and ``q`` the
+shapes (runs of letters and digits folded). ``r = ln((p / |p|) / (q / |q|))`` with ``p`` and ``q`` the
 smoothed counts of documents of either class that hold a feature; a document is the vector of its features' ``r``, made
 unit length. Hinge loss is minimised by dual coordinate descent, classes weighted to the same sum.
 
 Labelled rows are used only where crc32 of the id, as text, leaves another remainder than 1 modulo 3. The fit takes at
-most ``MOST_LABELLED`` of them, those with the least hash of the id; this bound, which is documented here and is a
-parameter, keeps the fit's size fixed while scoring covers every row. The score is a logistic function of the margin,
+most ``MOST_LABELLED`` ids of them, those with the least hash, and of their texts, in this order, as many as have
+``MOST_BYTES`` together; these bounds, which are documented here and are parameters, keep the fit's size fixed while
+scoring covers every row. The score is a logistic function of the margin,
 fitted on the margins of a part of these rows that the machine was not fitted on (one of five, by hash).
 
 Edge cases: null text is empty and an empty text gets the score of the bias alone; without labels of both classes the
-score is the share of label 1 (0.5 without any); a null id is not held out and never labelled; an empty table gives an
+score is the share of label 1 (0.5 without any); an id with labels that clash is not learnt from, one with the same label
+twice counts once, rows that repeat an id are all learnt from; a null id is not held out and never labelled; an empty table gives an
 empty result; lang, source and ids are no features.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Windows, Words, chunks, mix
 
 BITS = 18
-MOST_LABELLED = 6000
+MOST_LABELLED, MOST_BYTES = 6000, 64 << 20
 COST, EPOCHS = 1.0, 20
 HELD_OUT = 1
 
@@ -153,15 +155,20 @@ def remainder(doc_id: str) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features, labels and calibration marks of at most ``most`` labelled rows that are not held out."""
+def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features, labels and calibration marks of the rows that are learnt from; none of them is held out."""
     chosen = (
-        labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)")
-        .where(remainder("id") != HELD_OUT).dropDuplicates(["id"])
+        labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)").where(remainder("id") != HELD_OUT)
+        .groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
         .orderBy(F.xxhash64("id"), "id").limit(most)
     )
-    ids = {row.id: row.quality for row in chosen.collect()}  # at most ``most``
-    few = docs.select(F.col("doc_id").alias("id"), F.col("text")).where(F.col("id").isin(list(ids)) if len(ids) <= 50 else F.expr(f"id in ({','.join(map(str, ids))})"))
+    ids = {row.id: row.quality for row in chosen.collect()}  # at most ``most``, in the order of their hashes
+    whose = lambda known: F.col("id").isin(list(known)) if len(known) <= 50 else F.expr(f"id in ({','.join(map(str, known))})")
+    few = docs.select(F.col("doc_id").alias("id"), F.col("text"))
+    sizes = {r["id"]: r["size"] for r in few.where(whose(ids)).groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect()}
+    room = np.cumsum([sizes.get(i, 0) for i in ids])
+    ids = {i: y for (i, y), upto in zip(ids.items(), room.tolist()) if upto <= most_bytes}
+    few = few.where(whose(ids))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,17 +1,19 @@
 """WARC archives compressed record by record with a Zstandard dictionary of their own.
 
-Every archive holds some 16 MB of payloads. Its dictionary is trained on records spread evenly over it (at most
-``SAMPLE_BYTES`` of them, a bound on the training alone: every record is written), and stands, itself compressed, in a
+Every archive holds some 16 MB of payloads. Its dictionary is trained on records spread evenly over it (some
+``SAMPLE_BYTES`` of them and of none more than its first ``RECORD_BYTES``, bounds on the training alone: every record is
+written whole), and stands, itself compressed, in a
 skippable frame (magic 0x184D2A5D) at the archive's head, so that a file can be read without any other. Each record is
 a frame of its own.
 
 Equal payloads of 1000 bytes or more become one response, that with the largest page id, and revisit records that refer
-to it and carry headers alone. Which one stays is found by a partial aggregation of digests; the join back is a plain
-equi-join with one row a digest on the other side.
+to it and carry headers alone. Which one stays is found by a partial aggregation of digests. The digests that more than one
+page has are a written table, so their size is known: as long as they are few they are broadcast and payloads are not
+shuffled; else the join is a plain equi-join with one row a digest on the other side.
 
 Archives are files in the shared folder that the cluster names, written under a name of their own by each attempt of a
 task and renamed when complete. Only files that the checkpointed manifest lists are read, so lost executors and repeated
-attempts do no harm.
+attempts do no harm. A record is named by its page's id and its payload's digest, an archive's first record by a UUID.
 
 Edge cases: a null payload is empty, a null url leaves its header out, a null id is written as such; rows with one id
 and one payload are all responses; an empty table gives no archive.
@@ -30,10 +32,10 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
+from .common import checkpointed, shared_folder, written
 
 MAGIC = 0x184D2A5D
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 16 << 20, 1 << 20, 64 << 10, 3
+ARCHIVE_BYTES, SAMPLE_BYTES, RECORD_BYTES, DICTIONARY_BYTES, LEVEL = 16 << 20, 1 << 20, 64 << 10, 64 << 10, 3
 REVISIT_BYTES = 1000
 MANIFEST_SCHEMA = "path string, n_records long, n_bytes long"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -41,8 +43,13 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"  # the tables hold no time; a fixed one keeps archives reproducible
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _uri(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}>"
+
+
+def _page_id(uri: str | None) -> int | None:
+    name = "null" if uri is None else uri.split(":")[2]
+    return None if name == "null" else int(name)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -50,12 +57,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id)}", f"WARC-Date: {_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id, digest)}", f"WARC-Date: {_DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if revisit:
-        head += [f"WARC-Refers-To: {_uri(refers_to)}", f"WARC-Profile: {_PROFILE}", "WARC-Truncated: length"]
+        head += [f"WARC-Refers-To: {_uri(refers_to, digest)}", f"WARC-Profile: {_PROFILE}", "WARC-Truncated: length"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -63,7 +70,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 def dictionary(records: list[bytes], sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> zstd.ZstdCompressionDict:
     """Trained on records spread evenly; from few or tiny records their plain bytes."""
     step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    samples = [r[: 64 << 10] for r in records[::step]]
+    samples = [r[:RECORD_BYTES] for r in records[::step]]
     try:
         return zstd.train_dictionary(size, samples, k=512, d=8)
     except zstd.ZstdError:
@@ -72,7 +79,7 @@ def dictionary(records: list[bytes], sample_bytes: int = SAMPLE_BYTES, size: int
 
 def archive(records: list[bytes]) -> bytes:
     info = f"software: spanforge\r\nformat: WARC File Format 1.1\r\nrecords: {len(records)}\r\n".encode()
-    first = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:info>\r\nWARC-Date: " + _DATE.encode() + b"\r\nContent-Type: application/warc-fields\r\nContent-Length: " + str(len(info)).encode() + b"\r\n\r\n" + info + b"\r\n\r\n"
+    first = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:" + str(uuid.uuid4()).encode() + b">\r\nWARC-Date: " + _DATE.encode() + b"\r\nContent-Type: application/warc-fields\r\nContent-Length: " + str(len(info)).encode() + b"\r\n\r\n" + info + b"\r\n\r\n"
     own = dictionary(records)
     packed = zstd.ZstdCompressor(level=19, write_checksum=True).compress(own.as_bytes())
     compress = zstd.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=True).compress
@@ -119,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, ["digest", "size"], "left")
+    rows = rows.join(written(shared), ["digest", "size"], "left")
     rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
     rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
@@ -160,7 +167,6 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
-        ident = lambda uri: None if uri is None or uri == "<urn:page:null>" else int(uri[10:-1])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(path, compression=None) as source:
@@ -175,7 +181,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
                     whole = headers["WARC-Type"] == "response"
                     if whole and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
                         raise ValueError(f"{path}: the payload of {headers['WARC-Record-ID']} differs from its digest")
-                    rows.append((ident(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], ident(headers.get("WARC-Refers-To")), size, digest, body if whole and with_payload else None))
+                    rows.append((_page_id(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], _page_id(headers.get("WARC-Refers-To")), size, digest, body if whole and with_payload else None))
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 for at in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000]), types)], RECORD_NAMES)

@@ -413,6 +413,57 @@ def test_classifier_without_two_classes(docs, odd_docs, no_docs, labels):
     assert nbsvm.classify(odd_docs, labels).count() == odd_docs.count() and nbsvm.classify(no_docs, labels).count() == 0
 
 
+def plain_features(text):
+    found = set()
+    for kind, words in enumerate((text.split(), re.sub(r"(A)A+|(a)a+|(0)0+", r"\1\2\3", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", text)))).split())):
+        found |= {(kind, w) for w in words} | {(kind, *p) for p in zip(words, words[1:])}
+    return found
+
+
+def test_scores_equal_plain_naive_bayes_support_vectors(spark):
+    """Log-count ratios, unit vectors and the largest margin, from n-grams as text, by another way to the optimum."""
+    rng = np.random.default_rng(9)
+    vocabulary = [["alpha", "Beta", "c3"], ["delta", "EPS", "z"]]
+    texts = [" ".join(rng.choice(vocabulary[k % 2] if rng.random() < 0.6 else sum(vocabulary, []), 5)) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    found = by_id(nbsvm.classify(docs, labels))
+    learnt = [k for k in range(90) if zlib.crc32(str(k).encode()) % 3 != 1]
+    fitted = [k for k in learnt if zlib.crc32(b"calibrate" + str(k).encode()) % 5]
+    sign = {k: 1.0 if k % 2 else -1.0 for k in range(90)}
+    sides = {y: Counter(f for k in fitted if sign[k] == y for f in plain_features(texts[k])) for y in (1.0, -1.0)}
+    size = {y: sum(c.values()) + (1 << nbsvm.BITS) for y, c in sides.items()}
+    ratio = lambda f: math.log((sides[1.0][f] + 1) / size[1.0]) - math.log((sides[-1.0][f] + 1) / size[-1.0])
+    names = sorted(set().union(*(plain_features(t) for t in texts)))
+    x = np.array([[ratio(f) if f in plain_features(t) else 0.0 for f in names] for t in texts])
+    x = np.hstack([x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True)), np.ones((90, 1))])
+    y = np.array([sign[k] for k in fitted])
+    cost = np.array([len(fitted) / 2 / (y == s).sum() for s in y])
+    # The dual by projected gradients.
+    k = (x[fitted] * y[:, None]) @ (x[fitted] * y[:, None]).T
+    alpha, step = np.zeros(len(fitted)), 1 / np.linalg.eigvalsh(k)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (k @ alpha - 1), 0, cost)
+    margin = x @ ((alpha * y) @ x[fitted])
+    logit = np.array([math.log(found[d]["score"] / (1 - found[d]["score"])) for d in range(90)])
+    slope, shift = np.polyfit(margin, logit, 1)
+    assert slope > 0 and np.abs(slope * margin + shift - logit).max() < 0.02 * np.ptp(logit)
+    held = np.array([d for d in learnt if d not in fitted])  # the logistic function is the likeliest one there
+    p, truth = 1 / (1 + np.exp(-logit[held])), np.array([d % 2 for d in held])
+    assert abs((truth - p).sum()) < 0.05 and abs(((truth - p) * margin[held]).sum() - 1e-3 * (slope - 1)) < 0.05
+
+
+def test_clashing_labels_and_bounds(spark):
+    docs = spark.createDataFrame([(k, ("good fine " if k % 2 else "bad poor ") * 3) for k in range(200)], "doc_id long, text string")
+    rows = [(k, k % 2, 0) for k in range(200)]
+    clash = spark.createDataFrame(rows + [(k, 1 - k % 2, 0) for k in range(0, 200, 7)] + rows[1:50], "doc_id long, quality int, toxic int")
+    found, y, _ = nbsvm.labelled_features(docs, clash)
+    learnt = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1 and k % 7]
+    assert len(found) == len(learnt) and y.tolist() == [1.0 if k % 2 else -1.0 for k in learnt]
+    assert len(nbsvm.labelled_features(docs, clash, most=30)[0]) == 30
+    assert 0 < len(nbsvm.labelled_features(docs, clash, most_bytes=500)[0]) <= 500 / 27
+
+
 def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(4)
     rows = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(80)]
