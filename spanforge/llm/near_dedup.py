@@ -177,7 +177,7 @@ def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Those of the pairs hub, member whose weighted Jaccard similarity reaches ``similarity``, as a, b."""
+    """Those of the pairs hub, member whose weighted Jaccard similarity reaches ``similarity``, as a, b. ``docs``: row, text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: f
     wanted = dealt.select("hub", "part", "member", F.col("member").alias("row")).unionByName(
         dealt.groupBy("hub", "part").agg(F.first("hub").alias("row")).select("hub", "part", F.lit(None).cast("long").alias("member"), "row")
     )
-    texts = wanted.join(docs.select("row", "text"), "row").select("hub", "part", "member", "text")
+    texts = wanted.join(docs.hint("merge"), "row").select("hub", "part", "member", "text")
     return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("member")).mapInArrow(rows, "a long, b long")
 
 
@@ -231,19 +231,27 @@ def _unmet(docs: DataFrame, classes: DataFrame, weights: Weights, similarity: fl
                 own = [batch.column(k).slice(i, j - i).take(pa.array(text)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([signed(rare), *own, pa.array(left), pa.array(total[text])], ["key", "node", "class", "left", "total"])
 
-    texts = classes.join(docs.select("row", "text"), F.col("node") == F.col("row")).select("node", "class", "text")
+    texts = classes.join(docs, F.col("node") == F.col("row")).select("node", "class", "text")
     rows = texts.mapInArrow(found, "key long, node long, class long, left double, total double").withColumn("early", F.col("left") >= least * F.col("total"))
     rows = written(rows)
     alive = written(rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("early")).where("low <> high and early").select("key"))
     rows = written(rows.join(alive, "key"))
-    # Classes meet first, so that members of one class never do.
-    held = written(rows.groupBy("key", "class").agg(F.max("early").alias("early")))
-    meet = held.where("early").select("key", F.col("class").alias("class_a")).join(held.select("key", F.col("class").alias("class_b")), "key").where("class_a <> class_b")
-    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "left", "total", "early")])
+    # A key is of no use if all its nodes have one and the same key before it: they meet there, with more weight left.
+    # So a passage that many texts hold makes its pairs once, not once a shingle.
+    before = written(rows.groupBy("node").agg(F.max_by("key", "left").alias("before")))
+    useful = rows.join(before, "node").groupBy("key").agg(F.min("before").alias("low"), F.max("before").alias("high")).where("low <> high or low = key")
+    rows = written(rows.join(written(useful.select("key")), "key"))
+    # A pair meets if neither weighs more than the other's reach. The lighter one has the key early. Classes meet first,
+    # by the least weight and the farthest reach in them, then the one's nodes meet the other class, then nodes meet.
+    rows = written(rows.withColumn("reach", 2 / least * F.col("left") - F.col("total")))
+    held = lambda x, some: some.groupBy("key", F.col("class").alias(f"class_{x}")).agg(F.min("total").alias(f"low_{x}"), F.max("reach").alias(f"high_{x}"))
+    light, heavy = written(held("a", rows.where("early"))), written(held("b", rows))
+    meet = light.join(heavy, "key").where("class_a <> class_b and low_a <= high_b and low_b <= high_a").select("key", "class_a", "class_b", "low_b", "high_b")
+    of = lambda x, some: some.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "node", "total", "reach")])
     return (
-        meet.join(of("a").where("early_a"), ["key", "class_a"]).join(of("b"), ["key", "class_b"])
-        .where(F.least("left_a", "left_b") >= least / 2 * (F.col("total_a") + F.col("total_b")))
-        .select(F.least("node_a", "node_b").alias("hub"), F.greatest("node_a", "node_b").alias("member")).distinct()
+        meet.join(of("a", rows.where("early")), ["key", "class_a"]).where("low_b <= reach_a and total_a <= high_b").drop("low_b", "high_b")
+        .join(of("b", rows), ["key", "class_b"]).where("total_b <= reach_a and total_a <= reach_b and struct(total_a, node_a) < struct(total_b, node_b)")
+        .select(F.col("node_a").alias("hub"), F.col("node_b").alias("member")).distinct()
     )
 
 
@@ -259,6 +267,7 @@ def _classified(source: DataFrame, similarity: float) -> DataFrame:
     members = written(banded.join(crowded, ["band", "key"]))
     # How many a node meets in all its buckets: the nearer to the middle of its group, the more.
     central = written(members.groupBy("node").agg(F.sum("n").alias("met")))
+    texts = written(source.select("row", "text").join(central.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi"))  # of those that meet any
     ranked = members.where(F.col("n") > HUBS).join(central, "node").withColumn("hash", F.xxhash64("band", "node"))
     middle = F.shiftleft("met", 20) + F.pmod("hash", F.lit(1 << 20))
     half = F.pmod("hash", F.lit(2))
@@ -276,21 +285,21 @@ def _classified(source: DataFrame, similarity: float) -> DataFrame:
         .select(F.when(F.col("lean") >= 0, F.col("low")).otherwise(F.col("high")).alias("hub"), F.when(F.col("lean") >= 0, F.col("high")).otherwise(F.col("low")).alias("member"), "later")
     )
     pairs = written(pairs)
-    links = written(_verified(pairs.where("not later").select("hub", "member"), source, weights, similarity))
+    links = written(_verified(pairs.where("not later").select("hub", "member"), texts, weights, similarity))
     labels = components(links)
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
     apart = (
         pairs.where("later").join(of("hub"), "hub", "left").join(of("member"), "member", "left")
         .where(F.coalesce("of_hub", "hub") != F.coalesce("of_member", "member")).select("hub", "member")
     )
-    links = links.unionByName(written(_verified(written(apart), source, weights, similarity)))
+    links = links.unionByName(written(_verified(written(apart), texts, weights, similarity)))
     labels = components(links)
     class_of = F.coalesce("label", "node").alias("class")
     sorted_out = members.where(F.col("n") > HUBS).join(labels, "node", "left").select("band", "key", "node", class_of)
     mixed = written(sorted_out.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "key"))
     suspects = written(sorted_out.join(mixed, ["band", "key"]).groupBy("node").agg(F.first("class").alias("class")))
     if not suspects.isEmpty():
-        rest = written(_verified(written(_unmet(source, suspects, weights, similarity)), source, weights, similarity))
+        rest = written(_verified(written(_unmet(texts, suspects, weights, similarity)), texts, weights, similarity))
         if not rest.isEmpty():
             labels = components(links.unionByName(rest))
     copied = nodes.where("copies > 1").select("d1", "d2", "node")
