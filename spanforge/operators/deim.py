@@ -1,9 +1,9 @@
 """Empirical interpolation: which points to sample, and what to do with the samples.
 
 The greedy point of a mode is where the mode, less its interpolation on the points before, is largest. Interpolating and
-subtracting is elimination with pivots, so no system is solved: one round takes the modes' next column, reduced by the
-coefficients so far, finds its largest entry as one top-1 aggregate, and fetches that row. Rounds read the same base
-table; only the small coefficient matrix grows.
+subtracting needs the coefficients that match the mode at those points, a system of as many equations as points, which is
+solved on the driver. One round takes the modes' next column, reduced by these coefficients, finds its largest entry as
+one top-1 aggregate, and fetches that row. Rounds read the same base table; only the small coefficient matrix grows.
 """
 
 from __future__ import annotations
@@ -77,14 +77,10 @@ def approximation_matrix(basis: Tensor, points: DataFrame) -> Tensor:
 
 
 def _cross(left: Tensor, right: Tensor) -> dict[int, np.ndarray]:
-    """For each variable left^T right over the points, as sums of products; modes x modes numbers each."""
+    """For each variable left^T right over the points; modes x modes numbers each."""
     k, n = left.extents.n_s, right.extents.n_s
     both = left.rows.select("var", "x", F.col("v").alias("l")).join(right.rows.select("var", "x", F.col("v").alias("r")), ["var", "x"])
-    cells = both.select("var", F.posexplode(F.flatten(F.transform("l", lambda a: F.transform("r", lambda b: a * b)))).alias("cell", "p"))
-    out = {v: np.zeros(k * n) for v in range(left.extents.n_var)}
-    for row in cells.groupBy("var", "cell").agg(F.sum("p").alias("p")).collect():
-        out[row["var"]][row["cell"]] = row["p"]
-    return {v: m.reshape(k, n) for v, m in out.items()}
+    return linalg.products(both.select("var", "l", "r"), left.extents.n_var, k, n)
 
 
 def multi_state_test_basis(space: Tensor, basis: Tensor, points: DataFrame) -> Tensor:

@@ -8,9 +8,10 @@ on the driver; each outer step is one distributed job, a dot product a row and a
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +24,33 @@ def linear_system(residuals: Tensor, basis: Tensor) -> DataFrame:
     if (residuals.extents.n_var, residuals.extents.n_x) != (basis.extents.n_var, basis.extents.n_x):
         raise ValueError("residuals and basis differ in variables or points")
     both = residuals.rows.select("var", "x", F.col("v").alias("r")).join(basis.rows.select("var", "x", F.col("v").alias("p")), ["var", "x"])
-    products = both.select("x", F.posexplode(F.flatten(F.transform("r", lambda r: F.transform("p", lambda p: r * p)))).alias("row", "e"))
-    sums = products.groupBy("x", "row").agg(F.sum("e").alias("e"))
-    return sums.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("row", "e"))).alias("c")).select("x", F.transform("c", lambda c: c["e"]).alias("col"))
+    n_var, k, n = residuals.extents.n_var, residuals.extents.n_s, basis.extents.n_s
+    by_x = both.groupBy("x").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("p")).alias("p"))  # a row a variable
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, p = (batch.column(c).flatten().to_numpy().reshape(-1, n_var, size) for c, size in ((1, k), (2, n)))
+            col = np.einsum("xvs,xvm->xsm", r, p).reshape(-1, k * n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, col.size + 1, k * n, dtype=np.int32)), pa.array(col.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["x", "col"])
+
+    return by_x.select("x", "r", "p").mapInArrow(columns, "x long, col array<double>")
 
 
 def right_hand_side(system: DataFrame) -> DataFrame:
     """row, val: each equation's sum over all points."""
-    return system.select(F.posexplode("col").alias("row", "e")).groupBy("row").agg(F.sum("e").alias("val"))
+
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                here = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+                total = here if total is None else total + here
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["row", "val"])
+
+    return system.select("col").mapInArrow(partial, "row int, val double").groupBy("row").agg(F.sum("val").alias("val"))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -83,10 +103,21 @@ class NonNegativeLeastSquares:
 
     def _next(self, system: DataFrame, residual: np.ndarray, chosen: list[int]) -> tuple[int, np.ndarray] | None:
         """The unchosen point of largest correlation, and its column."""
-        r = F.array(*[F.lit(float(e)) for e in residual])
-        dot = F.aggregate(F.zip_with("col", r, lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e)
-        best = system.where(~F.col("x").isin(chosen)).agg(F.max_by(F.struct("x", "col"), F.struct(dot, -F.col("x"))).alias("b")).first()["b"]
-        return None if best is None else (best["x"], np.array(best["col"]))
+        taken = np.array(chosen, dtype=np.int64)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One candidate a batch; the residual and the chosen points come in the closure."""
+            for batch in batches:
+                x = batch.column(0).to_numpy()
+                free = np.flatnonzero(~np.isin(x, taken))
+                if len(free):
+                    dots = (batch.column(1).flatten().to_numpy().reshape(len(x), -1)[free] * residual).sum(axis=1)
+                    at = int(free[np.lexsort((x[free], -dots))[0]])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([dots.max()])], ["x", "col", "dot"])
+
+        found = system.select("x", "col").mapInArrow(best, "x long, col array<double>, dot double")
+        top = found.agg(F.max_by(F.struct("x", "col"), F.struct("dot", -F.col("x"))).alias("b")).first()["b"]
+        return None if top is None else (top["x"], np.array(top["col"]))
 
 
 def feasible_step(now: np.ndarray, fit: np.ndarray) -> float:

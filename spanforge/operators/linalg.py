@@ -1,10 +1,11 @@
 """Distributed thin decompositions of tall matrices whose rows are a tensor's degrees of freedom.
 
 Direct TSQR: every task factors blocks of a bounded number of rows and writes each block's Q and R as one row of a table
-in the shared folder, so later passes see the same blocks whatever is lost and recomputed, and the data are never
-shuffled. The R factors are reduced in a tree of bounded fan-in; the last ones, ``FAN`` at most, are factored on the
+in the shared folder, so later passes see the same blocks whatever is lost and recomputed, and the data are not shuffled
+to be factored. The R factors are reduced in a tree of bounded fan-in; the last ones, ``FAN`` at most, are factored on the
 driver, whose work depends on the number of columns alone. Going down the tree gives each block the small matrix by
-which its Q is multiplied. Q is orthonormal whatever the rank. The Gram variant squares the condition number but reads
+which its Q is multiplied; these matrices are a written table, so their size is known: they are broadcast as long as they
+are small (a matrix of columns x modes for each 8192 rows), beyond that Q is shuffled once to meet them. Q is orthonormal whatever the rank. The Gram variant squares the condition number but reads
 the data once and keeps nothing of it.
 """
 
@@ -104,7 +105,7 @@ class Tsqr:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, k, dtype=np.int32)), pa.array(u.ravel()))
                     yield pa.RecordBatch.from_arrays([var, x, lists], ["var", "x", "v"])
 
-        joined = self.blocks.select(F.col("block").alias("id"), "var", "x", "q").join(self._factors(right), "id")
+        joined = self.blocks.select(F.col("block").alias("id"), "var", "x", "q").join(written(self._factors(right)), "id")
         out = joined.select("var", "x", "q", "m").mapInArrow(rows, "var int, x long, v array<double>")
         return Tensor(out, Extents(self.extents.n_var, self.extents.n_x, k))
 
@@ -171,6 +172,25 @@ def gram(tensor: Tensor) -> np.ndarray:
     return out.reshape(n, n)
 
 
+def products(rows: DataFrame, n_var: int, k: int, n: int) -> dict[int, np.ndarray]:
+    """``rows``: var, l, r. For each variable the sum of the outer products l r^T; each task sends one partial sum a cell."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            var = batch.column(0).to_numpy()
+            left, right = matrix_of(batch.column(1), k), matrix_of(batch.column(2), n)
+            for v in np.unique(var).tolist():
+                total[v] = total.get(v, 0.0) + left[var == v].T @ right[var == v]
+        for v, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k * n, v, np.int32)), pa.array(np.arange(k * n)), pa.array(m.ravel())], ["var", "cell", "p"])
+
+    out = {v: np.zeros(k * n) for v in range(n_var)}
+    for row in rows.mapInArrow(partial, "var int, cell long, p double").groupBy("var", "cell").agg(F.sum("p").alias("p")).collect():
+        out[row["var"]][row["cell"]] = row["p"]
+    return {v: m.reshape(k, n) for v, m in out.items()}
+
+
 def times(tensor: Tensor, right: np.ndarray) -> Tensor:
     """S @ right, a narrow map with the small matrix in its closure."""
     n, k = right.shape

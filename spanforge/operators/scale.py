@@ -17,17 +17,22 @@ ZERO = 1e-10
 def variable_scales(tensor: Tensor, kind: str) -> DataFrame:
     """var, scale. ``variance`` is the population standard deviation, as its users expect of it.
 
-    Each row is reduced in place first (a narrow map), then rows by variable with map-side sums.
+    Each row is reduced in place first (a narrow map), then rows by variable with map-side sums. The deviation takes the
+    means first (one number a variable), so that it does not cancel.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind of scaling {kind!r}; one of {', '.join(KINDS)}")
-    values = tensor.rows.select("var", F.explode("v").alias("e")) if kind == "variance" else tensor.rows
+    added = lambda f: F.sum(F.aggregate("v", F.lit(0.0), lambda a, e: a + f(e))) / F.sum(F.size("v"))
+    values = tensor.rows
     if kind == "max_abs":
         scale = F.max(F.array_max(F.transform("v", F.abs)))
     elif kind == "mean_abs":
-        scale = F.sum(F.aggregate("v", F.lit(0.0), lambda a, e: a + F.abs(e))) / F.sum(F.size("v"))
+        scale = added(F.abs)
     else:
-        scale = F.stddev_pop("e")
+        means = values.groupBy("var").agg(added(lambda e: e).alias("mean")).collect()
+        by_var = F.create_map(*[F.lit(x) for r in means for x in (r["var"], r["mean"])])[F.col("var")] if means else F.lit(0.0)
+        values = values.withColumn("mean", by_var)
+        scale = F.sqrt(added(lambda e: (e - F.col("mean")) * (e - F.col("mean"))))
     return values.groupBy("var").agg(scale.alias("scale")).withColumn("scale", F.when(F.col("scale") < ZERO, 1.0).otherwise(F.col("scale")))
 
 
