@@ -16,11 +16,12 @@ from spanforge.plans.tensor import Tensor
 def energy_modes(sigma: DataFrame, threshold: float) -> DataFrame:
     """One row, ``k``: modes until the running share of squared singular values exceeds the threshold, in mode order.
 
-    ``sigma``: mode, sigma, one row a mode (as many as samples). If no share exceeds it, one mode stays.
+    ``sigma``: mode, sigma, one row a mode (as many as samples). If no share exceeds it, or there is no energy at all, one
+    mode stays.
     """
     order = W.orderBy("mode").rowsBetween(W.unboundedPreceding, W.currentRow)
     square = F.col("sigma") * F.col("sigma")
-    ranked = sigma.select("mode", (F.sum(square).over(order) / F.sum(square).over(W.partitionBy())).alias("share"), F.row_number().over(W.orderBy("mode")).alias("n"))
+    ranked = sigma.select("mode", F.try_divide(F.sum(square).over(order), F.sum(square).over(W.partitionBy())).alias("share"), F.row_number().over(W.orderBy("mode")).alias("n"))
     return ranked.agg(F.coalesce(F.min(F.when(F.col("share") > threshold, F.col("n"))), F.lit(1)).alias("k"))
 
 
@@ -58,6 +59,6 @@ class Energy(NoTruncation):
         running = 0.0
         for k, s in enumerate(sigma, 1):
             running += s * s
-            if running / total > self.threshold:
+            if total > 0 and running / total > self.threshold:
                 return k
         return 1

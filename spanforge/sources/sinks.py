@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,33 @@ def export_hdf5(space: VectorSpace, path: str) -> None:
         out.create_dataset("basis", data=space.basis.numpy())
 
 
+class MeshWriter(Protocol):
+    """What a mesh library has to offer for ``export_mesh_fields``."""
+
+    def define(self, names: Sequence[str]) -> None: ...
+
+    def put(self, name: str, step: int, values: np.ndarray) -> None: ...
+
+    def close(self) -> None: ...
+
+
+def export_mesh_fields(space: VectorSpace, writer: MeshWriter, var_names: Sequence[str] | None = None) -> None:
+    """The space's fields, one after the other, each with its values at all points, to a mesh file; step 1, as meshes
+    count. ``writer`` opens the copy of the mesh; it is closed whatever happens."""
+    n_var, _, k = space.extents
+    names = field_names(n_var, k, var_names)
+    try:
+        writer.define(names)
+        table = nodal_fields(space, var_names).orderBy("x")
+        for at in range(0, len(names), k + 1):  # a variable at a time, so the driver holds k + 1 fields
+            own = table.select(*names[at : at + k + 1]).toPandas()
+            for name in own.columns:
+                writer.put(name, 1, own[name].to_numpy())
+    finally:
+        writer.close()
+
+
+#: The names under which meshes keep these fields.
 def field_names(n_var: int, n_modes: int, var_names: Sequence[str] | None = None) -> list[str]:
     """u0_<var>, then phi_<var>_<mode> from 1, padded with zeros to one width."""
     names = list(var_names) if var_names is not None else [str(i) for i in range(n_var)]

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import dataclasses
 import logging
-from collections.abc import Sequence
-from typing import Protocol
+import time
+from collections.abc import Callable, Sequence
+from typing import Any, Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,12 @@ class GreedyCoupler(Protocol):
 
 
 def qoi_error(fom: DataFrame, rom: DataFrame, key: Sequence[str], value: str = "q") -> DataFrame:
-    """One row, ``error``: norm of the difference over the norm of the full model; NaN or infinity where that is zero."""
-    both = fom.select(*key, F.col(value).alias("f")).join(rom.select(*key, F.col(value).alias("r")), list(key))
+    """One row, ``error``: norm of the difference over the norm of the full model; NaN or infinity where that is zero.
+
+    A quantity that only one side has is zero on the other, so what the reduced model lacks counts as wholly wrong.
+    """
+    sides = fom.select(*key, F.col(value).alias("f")).join(rom.select(*key, F.col(value).alias("r")), list(key), "full")
+    both = sides.select(F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("r", F.lit(0.0)).alias("r"))
     difference, size = F.sqrt(F.sum(F.pow(F.col("f") - F.col("r"), F.lit(2.0)))), F.sqrt(F.sum(F.pow("f", F.lit(2.0))))
     infinite = F.when(F.col("d") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
     return both.agg(difference.alias("d"), size.alias("n")).select(F.when(F.col("n") > 0, F.try_divide("d", "n")).otherwise(infinite).alias("error"))
@@ -76,6 +81,8 @@ class GreedyResult:
     pool: list[int]
     converged: bool
     trace: DataFrame  # iteration, sample, indicator, qoi_error, predicted
+    times: DataFrame  # full_model, reduced_model, basis: seconds of the whole run
+    parameters: DataFrame  # sample_idx and the parameters of every sample that was drawn
 
 
 TRACE_SCHEMA = "iteration int, sample int, indicator double, qoi_error double, predicted double"
@@ -87,7 +94,14 @@ def run_greedy(spark: SparkSession, coupler: GreedyCoupler, tolerance: float, te
     prediction yet; the last round, which converges, is in the trace too, without an error."""
     if testing_sample_size < 3:
         raise ValueError("at least three samples are needed: two to train on and one to test")
-    space = coupler.parameter_space()
+    space, seconds = coupler.parameter_space(), dict.fromkeys(("full_model", "reduced_model", "basis"), 0.0)
+
+    def timed(what: str, call: Callable, *given: Any) -> Any:
+        began = time.perf_counter()
+        out = call(*given)
+        seconds[what] += time.perf_counter() - began
+        return out
+
     rng = np.random.RandomState(seed)  # one stream for the whole run
     drawn = monte_carlo_germ(testing_sample_size, space.dimension, rng)
 
@@ -96,14 +110,15 @@ def run_greedy(spark: SparkSession, coupler: GreedyCoupler, tolerance: float, te
         return space.samples(chosen)
 
     training, pool = [0, 1], list(range(2, testing_sample_size))
-    coupler.run_fom(samples(training))
-    coupler.create_trial_space(list(training))
-    coupler.error_indicators(samples(training), list(training))  # the loop makes no use of them
+    log.info("first samples %s", [r.asDict() for r in samples(training).orderBy("sample_idx").collect()])
+    timed("full_model", coupler.run_fom, samples(training))
+    timed("basis", coupler.create_trial_space, list(training))
+    timed("reduced_model", coupler.error_indicators, samples(training), list(training))  # the loop makes no use of them
     for i in training:
         coupler.qoi_error(samples([i]), i)
     regressor, rows, converged = Regressor(), [], False
     for iteration in range(1, max_iterations + 1):
-        found = np.asarray(coupler.error_indicators(samples(pool), list(pool)), dtype=float)
+        found = np.asarray(timed("reduced_model", coupler.error_indicators, samples(pool), list(pool)), dtype=float)
         best = int(np.argmax(found))
         pick, indicator = pool[best], float(found[best])
         predicted = regressor.predict(indicator) if iteration > 1 else None
@@ -112,18 +127,22 @@ def run_greedy(spark: SparkSession, coupler: GreedyCoupler, tolerance: float, te
             rows.append((iteration, pick, indicator, None, predicted))
             converged = True
             break
-        coupler.run_fom(samples([pick]))
+        log.info("round %d: full model for %s", iteration, samples([pick]).first().asDict())
+        timed("full_model", coupler.run_fom, samples([pick]))
         training.append(pick)
         pool.remove(pick)
         rows.append((iteration, pick, indicator, float(coupler.qoi_error(samples([pick]), pick)), predicted))
         regressor.fit([r[2] for r in rows], [r[3] for r in rows])
-        coupler.create_trial_space(list(training))
+        timed("basis", coupler.create_trial_space, list(training))
         drawn = np.concatenate([drawn, monte_carlo_germ(1, space.dimension, rng)])
         pool.append(len(drawn) - 1)
-    return GreedyResult(training, pool, converged, spark.createDataFrame(rows, TRACE_SCHEMA))
+    times = spark.createDataFrame([tuple(seconds.values())], ", ".join(f"{k} double" for k in seconds))
+    return GreedyResult(training, pool, converged, spark.createDataFrame(rows, TRACE_SCHEMA), times, samples(range(len(drawn))))
 
 
 def write_statistics(result: GreedyResult, path: str) -> None:
-    result.trace.write.mode("overwrite").parquet(path)
+    """Tables ``trace``, ``times`` and ``parameters`` below ``path``."""
+    for name in ("trace", "times", "parameters"):
+        getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 

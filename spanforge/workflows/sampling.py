@@ -50,10 +50,24 @@ def setup_directory(target: str, links: Sequence[str] = (), copies: Sequence[str
         shutil.copy(name, target)
 
 
-def run_executable(executable: str, directory: str, num_procs: int = 1, launcher: Sequence[str] = ("mpirun", "-n"), **flags: Any) -> int:
-    """Runs a program in a folder, without a shell; keyword arguments become --name=value."""
+#: Loads the module named $1, if any, then reads the script $2, if any, then becomes the program. Nothing of it is ever
+#: pasted into the text of a command.
+_PREPARED = 'if [ -n "$1" ]; then module load "$1" || exit; fi; if [ -n "$2" ]; then . "$2" || exit; fi; shift 2; exec "$@"'
+
+
+def run_executable(
+    executable: str, directory: str, num_procs: int = 1, launcher: Sequence[str] = ("mpirun", "-n"), module: str | None = None, pre_script: str | None = None, **flags: Any
+) -> int:
+    """Runs a program in a folder; keyword arguments become --name=value.
+
+    ``module``: an environment module to load first; ``pre_script``: a file of shell commands that set the environment.
+    Only then a login shell prepares the program's environment; names and values reach it as arguments.
+    """
     command = [*launcher, str(num_procs), executable] if num_procs > 1 else [executable]
-    return subprocess.run([*command, *(f"--{k}={v}" for k, v in flags.items())], cwd=directory, check=False).returncode
+    command += [f"--{k}={v}" for k, v in flags.items()]
+    if module or pre_script:
+        command = ["bash", "-lc", _PREPARED, "run", module or "", str(Path(pre_script).resolve()) if pre_script else "", *command]
+    return subprocess.run(command, cwd=directory, check=False).returncode
 
 
 def run_one(model: Model, parameters: dict[str, Any], prefix: str | None = None) -> dict[str, Any]:

@@ -222,3 +222,72 @@ def test_written_tables_can_be_dropped(spark):
     again = written(spark.range(5).selectExpr("id as x", "'text' as t"))
     assert again.count() == 5 and [r["x"] for r in again.orderBy("x").collect()] == list(range(5))
     assert drop_written(spark) >= 1 and drop_written(spark) == 0
+
+
+class Fields:
+    """A mesh writer that remembers."""
+
+    def __init__(self):
+        self.names, self.values, self.closed = [], {}, False
+
+    def define(self, names):
+        self.names = list(names)
+
+    def put(self, name, step, values):
+        self.values[name] = (step, values)
+
+    def close(self):
+        self.closed = True
+
+
+def test_mesh_fields_are_written(spark):
+    from spanforge.operators import shift, space
+    from spanforge.sources import sinks
+
+    data = np.random.default_rng(11).normal(size=(2, 6, 3))
+    t = from_numpy(spark, data)
+    own, writer = space.dictionary_space(t, shift.average_shift(t)), Fields()
+    sinks.export_mesh_fields(own, writer, ["a", "b"])
+    assert writer.closed and writer.names == ["u0_a", "phi_a_1", "phi_a_2", "phi_a_3", "u0_b", "phi_b_1", "phi_b_2", "phi_b_3"]
+    mean = data.mean(axis=2)
+    for v, name in enumerate("ab"):
+        assert writer.values[f"u0_{name}"][0] == 1 and np.allclose(writer.values[f"u0_{name}"][1], mean[v])
+        for k in range(3):
+            assert np.allclose(writer.values[f"phi_{name}_{k + 1}"][1], data[v, :, k] - mean[v])
+
+
+def test_hdf5_export(spark, tmp_path, monkeypatch):
+    """With h5py where it is installed; else a stand-in with the two calls that are made."""
+    import sys
+    import types
+
+    from spanforge.operators import shift, space
+    from spanforge.sources import sinks
+
+    t = from_numpy(spark, np.random.default_rng(12).normal(size=(2, 4, 3)))
+    own, held = space.dictionary_space(t, shift.average_shift(t)), {}
+    try:
+        import h5py
+    except ImportError:
+
+        class File:
+            def __init__(self, path, mode):
+                assert mode == "w"
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *error):
+                return False
+
+            def create_dataset(self, name, data):
+                held[name] = np.array(data)
+
+        monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File))
+        sinks.export_hdf5(own, str(tmp_path / "space.h5"))
+    else:
+        sinks.export_hdf5(own, str(tmp_path / "space.h5"))
+        with h5py.File(tmp_path / "space.h5") as source:
+            held = {k: source[k][:] for k in ("shift", "basis")}
+    assert np.allclose(held["basis"], own.basis.numpy()) and held["shift"].shape == (2, 4)
+    assert np.allclose(held["basis"] + held["shift"][:, :, None], t.numpy())

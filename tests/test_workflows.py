@@ -43,6 +43,7 @@ def test_parameter_errors(spark):
 
 def test_published_draws(spark):
     space = params.uniform_space(["u", "v"], [-1, 0], [1, 3])
+    # The published draws.
     carlo = [(-0.69167432, 2.22014909), (-0.47336997, 1.60121818), (-0.97085008, 2.75624102), (0.80142971, 0.10026428)]
     cube = [(-0.12541223, 0.78993529), (0.40533981, 2.86553144), (0.82505538, 2.07709407), (-0.83522287, 0.66369046)]
     assert np.allclose(values(params.monte_carlo_sample(spark, space, 4, 12)), carlo)
@@ -124,10 +125,37 @@ def test_greedy(spark):
         greedy.run_greedy(spark, scripted, 1e-5, 2)
 
 
+def test_greedy_statistics(spark, tmp_path, caplog):
+    # The published script.
+    scripted = _Scripted([1.0, 2.0, 3.0, 1.5, 4.0, 0.9, 0.4, 0.6, 0.09, 0.1, 0.06, 1e-7, 1e-6, 1e-5], [1.0, 1.0, 0.4, 0.09, 0.01, 1e-6])
+    with caplog.at_level("INFO", logger="spanforge.workflows.greedy"):
+        result = greedy.run_greedy(spark, scripted, 1e-5, 5)
+    greedy.write_statistics(result, str(tmp_path / "statistics"))
+    read = lambda name: spark.read.parquet(str(tmp_path / "statistics" / name))
+    assert read("trace").count() == 4
+    times = read("times").first().asDict()
+    assert set(times) == {"full_model", "reduced_model", "basis"} and all(v >= 0 for v in times.values())
+    drawn = {r["sample_idx"]: r["u"] for r in read("parameters").collect()}
+    assert sorted(drawn) == list(range(8)) and np.allclose([drawn[k] for k in range(5)], np.random.RandomState(1).random_sample((5, 1))[:, 0])
+    logged = caplog.text
+    assert all(f"{drawn[k]}" in logged for k in result.training)
+
+
+def test_prepared_runs(spark, tmp_path):
+    (tmp_path / "set up.sh").write_text("export WHAT='from the script'\n")
+    (tmp_path / "program").write_text("#!/bin/bash\necho \"$WHAT $1\" > out\n")
+    (tmp_path / "program").chmod(0o755)
+    assert sampling.run_executable(str(tmp_path / "program"), str(tmp_path), pre_script=str(tmp_path / "set up.sh"), name="a b; false") == 0
+    assert (tmp_path / "out").read_text() == "from the script --name=a b; false\n"
+    assert sampling.run_executable("true", str(tmp_path), module="no-such-module") != 0
+
+
 def test_errors_and_choices(spark):
     of = lambda xs: spark.createDataFrame(list(enumerate(map(float, xs))), "k int, q double")
     assert np.isclose(greedy.qoi_error(of([3, 4]), of([3, 2]), ["k"]).first()["error"], 2 / 5)
     assert greedy.qoi_error(of([0, 0]), of([1, 0]), ["k"]).first()["error"] == math.inf
     assert math.isnan(greedy.qoi_error(of([0]), of([0]), ["k"]).first()["error"])
+    short = spark.createDataFrame([(0, 3.0)], "k int, q double")  # the reduced model lacks a quantity
+    assert np.isclose(greedy.qoi_error(of([3, 4]), short, ["k"]).first()["error"], 4 / 5)
     sweep = spark.createDataFrame([(0, 7, 1.0), (1, 3, 2.0), (2, 9, 2.0)], "position int, sample int, indicator double")
     assert tuple(greedy.largest_indicator(sweep).first()) == (3, 2.0)
