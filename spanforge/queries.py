@@ -1,7 +1,8 @@
 """The engine's operators applied to the warehouse tables, and SQL that gives the same rows.
 
 T: sums of lineitem by quantity (variable 0), extended price (1), discount (2) and tax (3), brand (point) and ship year
-(sample). E: embeddings, one row a vector, one sample a component. P: germs from order keys.
+(sample). Closed forms need two samples, for which T's years are added up by parity; E: embeddings, one row a vector, one
+sample a component, or few samples over which all components are added up in turn. P: germs from order keys.
 """
 
 from __future__ import annotations
@@ -62,7 +63,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.year("l_shipdate").alias("year"), *[F.col(m).cast("decimal(18,2)").alias(m) for m in measures])
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     sums = lines.join(parts, "l_partkey").groupBy("p_brand", "year").agg(*[F.sum(m).cast("double").alias(m) for m in measures])
-    ranked = sums.withColumn("x", (F.dense_rank().over(W.orderBy("p_brand")) - 1).cast("long"))
+    # One row a brand; the brands' numbers are found among these alone.
+    brands = sums.select("p_brand").distinct().withColumn("x", (F.row_number().over(W.orderBy("p_brand")) - 1).cast("long"))
+    ranked = sums.join(brands, "p_brand")
     each = F.posexplode(F.array(*measures)).alias("var", "val")
     return ranked.select("x", (F.col("year") - 1995).cast("long").alias("s"), each).select("var", "x", "s", "val")
 
@@ -71,16 +74,26 @@ def tensor_t(spark: SparkSession, sf_dir: str) -> Tensor:
     return from_long(cells(spark, sf_dir), Extents(4, 25, 7))
 
 
-def scaled_t(spark: SparkSession, sf_dir: str, samples: int = 7) -> Tensor:
-    t = tensor_t(spark, sf_dir)
-    t = scale.VariableScaling("max_abs").fit(t).pre(t)
-    return t if samples == 7 else t.with_values(F.slice("v", 1, samples), samples)
+def scaled(t: Tensor) -> Tensor:
+    return scale.VariableScaling("max_abs").fit(t).pre(t)
+
+
+def scaled_t(spark: SparkSession, sf_dir: str) -> Tensor:
+    return scaled(tensor_t(spark, sf_dir))
+
+
+def scaled_pair(spark: SparkSession, sf_dir: str) -> Tensor:
+    """Two samples: the sums of even and of odd years."""
+    halves = cells(spark, sf_dir).groupBy("var", "x", F.pmod("s", F.lit(2)).alias("s")).agg(F.sum("val").alias("val"))
+    return scaled(from_long(halves, Extents(4, 25, 2)))
 
 
 def tensor_e(spark: SparkSession, sf_dir: str, samples: int = 64) -> Tensor:
+    """All 64 components; with fewer samples, sample k is the sum of the components k, k + samples, ..."""
     e = table(spark, sf_dir, "embeddings")
-    n = e.count()
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, samples)
+    n, v = e.count(), F.col("embedding").cast("array<double>")
+    if samples < 64:
+        v = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.aggregate(F.filter(v, lambda x, i: F.pmod(i, F.lit(samples)) == k), F.lit(0.0), lambda a, x: a + x))
     return from_rows(e.select(F.lit(0).alias("var"), F.col("vec_id").alias("x"), v.alias("v")), Extents(1, n, samples))
 
 
@@ -114,7 +127,9 @@ c AS (SELECT p_brand, year(l_shipdate) - 1995 AS s, CAST(sum(CAST(l_quantity AS
 d AS (SELECT dense_rank() OVER (ORDER BY p_brand) - 1 AS x, * FROM c),
 t AS (SELECT 0::BIGINT AS var, x::BIGINT AS x, s::BIGINT AS s, m0 AS val FROM d UNION ALL SELECT 1, x, s, m1 FROM d
       UNION ALL SELECT 2, x, s, m2 FROM d UNION ALL SELECT 3, x, s, m3 FROM d),
-z AS (SELECT var, x, s, val / max(abs(val)) OVER (PARTITION BY var) AS val FROM t)"""
+z AS (SELECT var, x, s, val / max(abs(val)) OVER (PARTITION BY var) AS val FROM t),
+t2 AS (SELECT var, x, s % 2 AS s, sum(val) AS val FROM t GROUP BY ALL),
+z2 AS (SELECT var, x, s, val / max(abs(val)) OVER (PARTITION BY var) AS val FROM t2)"""
 _CELL = "var, x, s, round({0}, 6) + 0.0 AS val"
 
 
@@ -243,7 +258,7 @@ def scale_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIR_SQL = f"""WITH {T_SQL},
-p AS (SELECT var, x, max(CASE WHEN s = 0 THEN val END) AS a, max(CASE WHEN s = 1 THEN val END) AS b FROM z GROUP BY var, x),
+p AS (SELECT var, x, max(CASE WHEN s = 0 THEN val END) AS a, max(CASE WHEN s = 1 THEN val END) AS b FROM z2 GROUP BY var, x),
 g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM p),
 e AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) * ((aa - bb) / 2) + ab * ab) AS l0, (aa + bb) / 2 - sqrt(((aa - bb) / 2) * ((aa - bb) / 2) + ab * ab) AS l1 FROM g)"""
 _BASIS2_SQL = (
@@ -272,18 +287,18 @@ def svd_energy_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIR_SQL + " SELECT 0::BIGINT AS mode, round(sqrt(l0), 6) + 0.0 AS sigma FROM e UNION ALL SELECT 1, round(sqrt(l1), 6) + 0.0 FROM e")
 def svd2_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, s = linalg.decompose(scaled_t(spark, sf_dir, 2), sign="raw")
+    _, s = linalg.decompose(scaled_pair(spark, sf_dir), sign="raw")
     return emitted(spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "mode long, sigma double"))
 
 
 @query(_BASIS2_SQL)
 def pod2_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emitted(pod_space(scaled_t(spark, sf_dir, 2)).basis.long("mode"))
+    return emitted(pod_space(scaled_pair(spark, sf_dir)).basis.long("mode"))
 
 
 @query(_BASIS2_SQL)
 def pod2_basis_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emitted(pod_space(scaled_t(spark, sf_dir, 2), svd="gram").basis.long("mode"))
+    return emitted(pod_space(scaled_pair(spark, sf_dir), svd="gram").basis.long("mode"))
 
 
 @query()
@@ -294,6 +309,24 @@ def pod_of_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(space.basis.long("mode"))
 
 
+@query(f"WITH {T_SQL} SELECT {_CELL.format('val')} FROM t")
+def pod_reproduces_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift, scaling and all modes together: the snapshots' projection on their own space is the snapshots."""
+    t = tensor_t(spark, sf_dir)
+    average, scaling = shift.average_shift(t), scale.VariableScaling("max_abs").fit(t)
+    space = pod_space(t, shift=average, scaler=scaling)
+    modes, data = scaling.pre(space.basis), scaling.pre(average.apply(t))
+    pairs = modes.rows.select("var", "x", F.col("v").alias("l")).join(data.rows.select("var", "x", F.col("v").alias("r")), ["var", "x"])
+    coefficients = sum(linalg.products(pairs.select("var", "l", "r"), 4, modes.extents.n_s, 7).values())
+    return emitted(average.invert(scaling.post(linalg.times(modes, coefficients))).long())
+
+
+@query(_BASIS2_SQL)
+def snapshots_as_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of snapshots in place of a QR: its modes, with the sign rule of a decomposition."""
+    return emitted(linalg.signed(EuclideanL2("gram").orthogonalize(scaled_pair(spark, sf_dir))).long("mode"))
+
+
 @query()
 def pod_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tensor_e(spark, sf_dir)
@@ -304,11 +337,11 @@ def pod_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Truncation, orthogonalisation.
 
 
-@query(f"""WITH {T_SQL}, g AS (SELECT s AS mode, sum(val) / 1e3 AS sigma FROM t WHERE var = 0 GROUP BY s),
+@query(f"""WITH {T_SQL}, g AS (SELECT s AS mode, sum(val) / 1e3 AS sigma FROM t GROUP BY s),
 e AS (SELECT mode, sum(sigma * sigma) OVER (ORDER BY mode) / sum(sigma * sigma) OVER () AS share FROM g)
 SELECT (coalesce(min(CASE WHEN share > 0.65 THEN mode END), 0) + 1)::BIGINT AS k FROM e""")
 def truncate_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sigma = cells(spark, sf_dir).where("var = 0").groupBy(F.col("s").alias("mode")).agg((F.sum("val") / 1e3).alias("sigma"))
+    sigma = cells(spark, sf_dir).groupBy(F.col("s").alias("mode")).agg((F.sum("val") / 1e3).alias("sigma"))
     return emitted(truncate.energy_modes(sigma, 0.65))
 
 
@@ -319,7 +352,7 @@ def truncate_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gram_schmidt(w: str) -> str:
     return f"""WITH {T_SQL},
-p AS (SELECT var, x, {w} AS w, max(CASE WHEN s = 0 THEN val END) AS a, max(CASE WHEN s = 1 THEN val END) AS b FROM z GROUP BY var, x),
+p AS (SELECT var, x, {w} AS w, max(CASE WHEN s = 0 THEN val END) AS a, max(CASE WHEN s = 1 THEN val END) AS b FROM z2 GROUP BY var, x),
 n AS (SELECT sum(w * a * a) AS aa, sum(w * a * b) AS ab FROM p),
 q AS (SELECT var, x, w, a / sqrt(aa) AS q0, b - ab / aa * a AS r FROM p, n),
 m AS (SELECT sqrt(sum(w * r * r)) AS rr FROM q)
@@ -328,12 +361,12 @@ SELECT var, x, 0::BIGINT AS mode, round(q0, 6) + 0.0 AS val FROM q UNION ALL SEL
 
 @query(_gram_schmidt("1.0"))
 def orth_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emitted(EuclideanL2().orthogonalize(scaled_t(spark, sf_dir, 2)).long("mode"))
+    return emitted(EuclideanL2().orthogonalize(scaled_pair(spark, sf_dir)).long("mode"))
 
 
 @query(_gram_schmidt("1.0 + var + x / 10.0"))
 def orth_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = scaled_t(spark, sf_dir, 2)
+    t = scaled_pair(spark, sf_dir)
     weights = t.rows.select("var", "x", (1.0 + F.col("var") + F.col("x") / 10.0).alias("w"))
     return emitted(WeightedL2(weights).orthogonalize(t).long("mode"))
 
@@ -416,7 +449,12 @@ def _elimination(rows: str, group: str, modes: int) -> str:
     return sql
 
 
-_E_SQL = "WITH e0 AS (SELECT vec_id AS x, embedding[1]::DOUBLE AS c0, embedding[2]::DOUBLE AS c1, embedding[3]::DOUBLE AS c2 FROM embeddings)"
+_E_SQL = (
+    "WITH e0 AS (SELECT vec_id AS x, "
+    + ", ".join(f"list_sum(list_transform(range({k}, len(embedding) + 1, 3), lambda i: embedding[i]::DOUBLE)) AS c{k - 1}" for k in (1, 2, 3))
+    + " FROM embeddings)"
+)
+_E2_SQL = _E_SQL.replace(", 3), lambda", ", 2), lambda")
 
 
 @query(_E_SQL + _elimination("e0", "", 3) + " SELECT 0::BIGINT AS rank, px AS x FROM p0 UNION ALL SELECT 1, px FROM p1 UNION ALL SELECT 2, px FROM p2")
@@ -424,12 +462,12 @@ def deim_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(deim.deim_indices(tensor_e(spark, sf_dir, 3)))
 
 
-_Z2_SQL = f"WITH {T_SQL}, e0 AS (SELECT var, x, max(CASE WHEN s = 0 THEN val END) AS c0, max(CASE WHEN s = 1 THEN val END) AS c1 FROM z GROUP BY var, x)"
+_Z2_SQL = f"WITH {T_SQL}, e0 AS (SELECT var, x, max(CASE WHEN s = 0 THEN val END) AS c0, max(CASE WHEN s = 1 THEN val END) AS c1 FROM z2 GROUP BY var, x)"
 
 
 @query(_Z2_SQL + _elimination("e0", "var", 2) + ", k AS (SELECT DISTINCT px AS x FROM (SELECT px FROM p0 UNION ALL SELECT px FROM p1)) SELECT row_number() OVER (ORDER BY x) - 1 AS rank, x FROM k")
 def deim_multi_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emitted(deim.multi_state_deim_indices(scaled_t(spark, sf_dir, 2)))
+    return emitted(deim.multi_state_deim_indices(scaled_pair(spark, sf_dir)))
 
 
 #: Two points, which make the pseudo-inverse an inverse; v0 and v1 are their rows.
@@ -443,7 +481,7 @@ def _points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_POINTS, "rank int, x long")
 
 
-@query(_E_SQL + _TWO_SQL.format("e0", "", "", "ON true") + """ SELECT x, 0::BIGINT AS point, round(c0 * i00 + c1 * i10, 6) + 0.0 AS val FROM e0, i
+@query(_E2_SQL + _TWO_SQL.format("e0", "", "", "ON true") + """ SELECT x, 0::BIGINT AS point, round(c0 * i00 + c1 * i10, 6) + 0.0 AS val FROM e0, i
 UNION ALL SELECT x, 1, round(c0 * i01 + c1 * i11, 6) + 0.0 FROM e0, i""")
 def deim_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(deim.approximation_matrix(tensor_e(spark, sf_dir, 2), _points(spark)).long("point").drop("var"))
@@ -463,30 +501,30 @@ r AS (SELECT var, 0 AS x, 0 AS mode, m00 * i00 + m01 * i10 AS val FROM m JOIN i
 UNION ALL SELECT var, 1, 0, m00 * i01 + m01 * i11 FROM m JOIN i USING (var) UNION ALL SELECT var, 1, 1, m01 * i01 + m11 * i11 FROM m JOIN i USING (var))
 SELECT var, x::BIGINT AS x, mode::BIGINT AS mode, round(val, 4) + 0.0 AS val FROM r""")
 def deim_multi_test_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = scaled_t(spark, sf_dir, 2)
+    z = scaled_pair(spark, sf_dir)
     return emitted(deim.multi_state_test_basis(z, z, _points(spark)).long("mode"), 4)
 
 
 # Sparse quadrature.
 
-_SYSTEM_SQL = f"WITH {T_SQL}, y AS (SELECT r.x, r.s * 2 + p.s AS row, sum(p.val * r.val) AS e FROM z r JOIN z p ON r.var = p.var AND r.x = p.x AND p.s < 2 GROUP BY r.x, r.s, p.s)"
+_SYSTEM_SQL = f"WITH {T_SQL}, y AS (SELECT r.x, r.s * 2 + p.s AS row, sum(p.val * r.val) AS e FROM z r JOIN z2 p ON r.var = p.var AND r.x = p.x GROUP BY r.x, r.s, p.s)"
 
 
 @query(_SYSTEM_SQL + " SELECT x, row, round(e, 6) + 0.0 AS e FROM y")
 def ecsw_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    system = ecsw.linear_system(scaled_t(spark, sf_dir), scaled_t(spark, sf_dir, 2))
+    system = ecsw.linear_system(scaled_t(spark, sf_dir), scaled_pair(spark, sf_dir))
     return emitted(system.select("x", F.posexplode("col").alias("row", "e")))
 
 
 @query(_SYSTEM_SQL + " SELECT row, round(sum(e), 6) + 0.0 AS val FROM y GROUP BY row")
 def ecsw_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emitted(ecsw.right_hand_side(ecsw.linear_system(scaled_t(spark, sf_dir), scaled_t(spark, sf_dir, 2))))
+    return emitted(ecsw.right_hand_side(ecsw.linear_system(scaled_t(spark, sf_dir), scaled_pair(spark, sf_dir))))
 
 
 @query()
 def ecsw_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewer equations than points: two modes, all seven snapshots."""
-    return emitted(ecsw.sample_mesh(scaled_t(spark, sf_dir), scaled_t(spark, sf_dir, 2), 1e-4))
+    """Fewer equations than points: two modes, seven snapshots."""
+    return emitted(ecsw.sample_mesh(scaled_t(spark, sf_dir), scaled_pair(spark, sf_dir), 1e-4))
 
 
 # Parameter spaces.
@@ -515,12 +553,18 @@ def param_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(params.empty_space().samples(germ_p(spark, sf_dir, 3).select("sample_idx", F.expr("cast(array() as array<double>)").alias("u"))))
 
 
-@query()
+#: The published draws of seed 12.
+_MC_SQL = "SELECT * FROM (VALUES (0::BIGINT, -0.691674, 2.220149), (1, -0.473370, 1.601218), (2, -0.970850, 2.756241), (3, 0.801430, 0.100264)) v(sample_idx, a, b)"
+_LHS_SQL = "SELECT * FROM (VALUES (0::BIGINT, -0.125412, 0.789935), (1, 0.405340, 2.865531), (2, 0.825055, 2.077094), (3, -0.835223, 0.663690)) v(sample_idx, a, b)"
+_AS_DOUBLES = "SELECT sample_idx, a::DOUBLE AS a, b::DOUBLE AS b FROM ({})"
+
+
+@query(_AS_DOUBLES.format(_MC_SQL))
 def sample_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(params.monte_carlo_sample(spark, params.uniform_space(["a", "b"], [-1.0, 0.0], [1.0, 3.0]), 4, 12))
 
 
-@query()
+@query(_AS_DOUBLES.format(_LHS_SQL))
 def sample_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(params.latin_hypercube_sample(spark, params.uniform_space(["a", "b"], [-1.0, 0.0], [1.0, 3.0]), 4, 12))
 
@@ -566,36 +610,28 @@ class _Sum:
         return [parameters["a"] + 2 * parameters["b"]]
 
 
-@query(_P_SQL + " SELECT sample_idx, 0::BIGINT AS flag, round(-1.0 + 2.0 * u0 + 2 * (3.0 * u1), 6) + 0.0 AS qoi FROM p WHERE sample_idx <= 200")
-def sampling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The study's first 200 samples, a run each."""
-    samples = params.uniform_space(["a", "b"], [-1.0, 0.0], [1.0, 3.0]).samples(germ_p(spark, sf_dir, 2).where("sample_idx <= 200"))
-    runs = run_samples(_Sum(), samples)
-    return emitted(runs.select("sample_idx", "flag", F.col("qoi")[0].alias("qoi")))
-
-
 @query(_P_SQL + " SELECT sample_idx, 0::BIGINT AS flag, round(-1.0 + 2.0 * u0 + 2 * (3.0 * u1), 6) + 0.0 AS qoi FROM p")
-def sampling_runs_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sampling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study, a run for every order's sample."""
     samples = params.uniform_space(["a", "b"], [-1.0, 0.0], [1.0, 3.0]).samples(germ_p(spark, sf_dir, 2))
     runs = run_samples(_Sum(), samples)
     return emitted(runs.select("sample_idx", "flag", F.col("qoi")[0].alias("qoi")))
 
 
-@query(f"""WITH {T_SQL}, e AS (SELECT x, max(CASE WHEN s = 0 THEN val END) AS f, max(CASE WHEN s = 1 THEN val END) AS r FROM t WHERE var = 0 GROUP BY x)
+@query(f"""WITH {T_SQL}, e AS (SELECT var, x, max(CASE WHEN s = 0 THEN val END) AS f, max(CASE WHEN s = 1 THEN val END) AS r FROM z2 GROUP BY var, x)
 SELECT round(sqrt(sum((f - r) * (f - r))) / sqrt(sum(f * f)), 6) + 0.0 AS error FROM e""")
 def qoi_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir).where("var = 0")
-    of = lambda s: c.where(F.col("s") == s).select("x", F.col("val").alias("q"))
-    return emitted(greedy.qoi_error(of(0), of(1), ["x"]))
+    c = scaled_pair(spark, sf_dir).long()
+    of = lambda s: c.where(F.col("s") == s).select("var", "x", F.col("val").alias("q"))
+    return emitted(greedy.qoi_error(of(0), of(1), ["var", "x"]))
 
 
-_HISTORY_SQL = f"WITH {T_SQL}, h AS (SELECT s AS iteration, max(CASE WHEN var = 0 THEN val END) AS indicator, max(CASE WHEN var = 2 THEN val END) AS qoi_error FROM t WHERE x = 0 GROUP BY s)"
+_HISTORY_SQL = f"WITH {T_SQL}, h AS (SELECT s AS iteration, sum(CASE WHEN var = 0 THEN val END) AS indicator, sum(CASE WHEN var = 2 THEN val END) AS qoi_error FROM t GROUP BY s)"
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir).where("x = 0")
-    of = lambda var: F.max(F.when(F.col("var") == var, F.col("val")))
+    c = cells(spark, sf_dir)
+    of = lambda var: F.sum(F.when(F.col("var") == var, F.col("val")))
     return c.groupBy(F.col("s").alias("iteration")).agg(of(0).alias("indicator"), of(2).alias("qoi_error"))
 
 
@@ -633,7 +669,12 @@ class _Scripted:
         return self.errors.pop(0)
 
 
-@query()
+#: The trace that the script leads to.
+_TRACE_SQL = """SELECT iteration::BIGINT AS iteration, sample::BIGINT AS sample, indicator::DOUBLE AS indicator, qoi_error::DOUBLE AS qoi_error, predicted::DOUBLE AS predicted
+FROM (VALUES (1, 4, 4.0, 0.4, NULL), (2, 2, 0.9, 0.09, 0.09), (3, 5, 0.1, 0.01, 0.01), (4, 7, 0.00001, NULL, 0.000001)) v(iteration, sample, indicator, qoi_error, predicted)"""
+
+
+@query(_TRACE_SQL)
 def greedy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripted = _Scripted([1.0, 2.0, 3.0, 1.5, 4.0, 0.9, 0.4, 0.6, 0.09, 0.1, 0.06, 1e-7, 1e-6, 1e-5], [1.0, 1.0, 0.4, 0.09, 0.01, 1e-6])
     return emitted(greedy.run_greedy(spark, scripted, 1e-5, 5).trace)
@@ -650,14 +691,7 @@ def _streamed(spark: SparkSession, sf_dir: str, v: Column) -> DataFrame:
     return emitted(streamed_gram(spark.read.parquet(f"{top}/sums")), 4)
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(0, 4)) AS i, unnest([embedding[1], embedding[2], embedding[3], embedding[4]])::DOUBLE AS v FROM embeddings)
-SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
-def stream_gram_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four components, as in its SQL."""
-    return _streamed(spark, sf_dir, F.slice(F.col("embedding").cast("array<double>"), 1, 4))
-
-
 @query("""WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
-def stream_gram_of_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_gram_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, F.col("embedding").cast("array<double>"))

@@ -30,18 +30,18 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_order_is_run(spark, duck):
-    found = engine.queries()["sampling_runs_of_all_orders"](spark, SF).select("sample_idx").collect()
+    found = engine.queries()["sampling_runs"](spark, SF).select("sample_idx").collect()
     assert sorted(r[0] for r in found) == sorted(r[0] for r in duck.sql("select o_orderkey from orders").fetchall())
 
 
 def test_all_components_are_streamed(spark):
-    found = engine.queries()["stream_gram_of_all_components"](spark, SF).select("i", "j").collect()
+    found = engine.queries()["stream_gram_of_embeddings"](spark, SF).select("i", "j").collect()
     assert sorted(map(tuple, found)) == [(i, j) for i in range(64) for j in range(64)]
 
 
 def test_mesh_meets_the_equations_of_all_snapshots(spark):
     mesh = {r["x"]: r["weight"] for r in engine.queries()["ecsw_nnls"](spark, SF).collect()}
-    system = {r["x"]: np.array(r["col"]) for r in ecsw.linear_system(engine.scaled_t(spark, SF), engine.scaled_t(spark, SF, 2)).collect()}
+    system = {r["x"]: np.array(r["col"]) for r in ecsw.linear_system(engine.scaled_t(spark, SF), engine.scaled_pair(spark, SF)).collect()}
     rhs = sum(system.values())
     assert len(rhs) == 14
     assert np.linalg.norm(sum(w * system[x] for x, w in mesh.items()) - rhs) <= 1.1e-4 * np.linalg.norm(rhs)
