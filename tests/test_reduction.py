@@ -1,20 +1,23 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from spanforge.operators import deim, ecsw
+from spanforge.operators import deim, ecsw, truncate
 from spanforge.plans.tensor import from_numpy
 from spanforge.streaming.gram import stream_gram, streamed_gram
 
 
-def solved_indices(u):
-    """Point selection by solving for the interpolation in every step."""
-    found = [int(np.argmax(np.abs(u[:, 0])))]
-    for k in range(1, u.shape[1]):
-        c = np.linalg.solve(u[found, :k], u[found, k])
-        found.append(int(np.argmax(np.abs(u[:, k] - u[:, :k] @ c))))
-    return found
+def pivot_rows(u):
+    """The rows that Gaussian elimination with row pivots takes as its pivots, column after column."""
+    left, order = u.astype(float).copy(), np.arange(len(u))
+    for k in range(u.shape[1]):
+        at = k + int(np.abs(left[k:, k]).argmax())
+        left[[k, at]], order[[k, at]] = left[[at, k]], order[[at, k]]
+        left[k + 1 :] -= np.outer(left[k + 1 :, k] / left[k, k], left[k])
+    return order[: u.shape[1]].tolist()
 
 
 def points_of(df):
@@ -23,9 +26,9 @@ def points_of(df):
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10_000), rows=st.integers(5, 30))
-def test_indices_equal_the_solved_form(spark, seed, rows):
+def test_indices_equal_pivot_rows(spark, seed, rows):
     u = np.random.default_rng(seed).normal(size=(1, rows, 5))
-    assert points_of(deim.deim_indices(from_numpy(spark, u))) == solved_indices(u[0])
+    assert points_of(deim.deim_indices(from_numpy(spark, u))) == pivot_rows(u[0])
 
 
 def test_one_mode_and_all_points(spark):
@@ -39,7 +42,7 @@ def test_one_mode_and_all_points(spark):
 def test_multi_state(spark):
     u, phi = np.random.default_rng(3).normal(size=(3, 10, 5)), np.random.default_rng(4).normal(size=(3, 10, 3))
     points = deim.multi_state_deim_indices(from_numpy(spark, u))
-    expected = sorted(set(sum((solved_indices(u[v]) for v in range(3)), [])))
+    expected = sorted(set(sum((pivot_rows(u[v]) for v in range(3)), [])))
     assert points_of(points) == expected
     basis = deim.multi_state_test_basis(from_numpy(spark, phi), from_numpy(spark, u), points).numpy()
     for v in range(3):
@@ -58,44 +61,25 @@ def test_approximation(spark):
     assert b.shape == (6, 3) and np.allclose(b.T @ f[order], phi[0].T @ f)
 
 
-def local_nnls(lhs, rhs, tolerance, solver):
-    """The solver's steps on one machine."""
-    chosen, weight, residual, norm = [], {}, rhs.copy(), np.linalg.norm(rhs)
-    target, still, iters = tolerance * norm, 0, 0
-    while norm > target and still < solver.max_iters_res_unchanged and iters < solver.max_iters:
-        dots = lhs.T @ residual
-        free = [x for x in range(lhs.shape[1]) if x not in chosen]
-        if free:
-            chosen.append(max(free, key=lambda x: (dots[x], -x)))
-        iters += 1
-        while True:
-            fit = np.linalg.pinv(lhs[:, chosen]) @ rhs
-            if (fit > 0).all():
-                weight = dict(zip(chosen, fit))
-                break
-            now = np.array([weight.get(x, 0.0) for x in chosen])
-            moved = now + ecsw.feasible_step(now, fit) * (fit - now)
-            weight = {x: w for x, w in zip(chosen, moved) if w >= solver.zero_tol}
-            chosen = [x for x in chosen if x in weight]
-            iters += 1
-        before, residual = norm, rhs - lhs[:, chosen] @ np.array([weight[x] for x in chosen])
-        norm = np.linalg.norm(residual)
-        still = still + 1 if abs(norm - before) < solver.zero_tol else 0
-    return chosen, [weight[x] for x in chosen]
-
-
 def system_of(spark, lhs):
     return spark.createDataFrame([(x, c.tolist()) for x, c in enumerate(lhs.T)], "x long, col array<double>")
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_nnls_follows_its_steps(spark, seed):
-    lhs = np.random.default_rng(seed).normal(size=(5, 10))
-    rhs, solver = lhs.sum(axis=1), ecsw.NonNegativeLeastSquares()
-    points, weights = solver(system_of(spark, lhs), rhs, 1e-12)
-    expected = local_nnls(lhs, rhs, 1e-12, solver)
-    assert points == expected[0] and np.allclose(weights, expected[1])
-    assert (weights > 0).all() and np.linalg.norm(lhs[:, points] @ weights - rhs) <= 1e-10 * np.linalg.norm(rhs)
+@pytest.mark.parametrize("seed", range(4))
+def test_nnls_is_optimal(spark, seed):
+    """The conditions of the least residual with weights that are not negative: no gradient where a weight is positive,
+    none that would let a zero weight grow. Right-hand sides that weights can meet, and others that none can."""
+    rng = np.random.default_rng(seed)
+    lhs = np.abs(rng.normal(size=(12, 8))) if seed % 2 else rng.normal(size=(12, 8))
+    rhs = lhs @ np.where(rng.random(8) < 0.5, rng.random(8), 0) + (rng.normal(size=12) * 0.3 if seed > 1 else 0)
+    points, weights = ecsw.NonNegativeLeastSquares(max_iters_res_unchanged=3)(system_of(spark, lhs), rhs, 1e-10)
+    w = np.zeros(8)
+    w[points] = weights
+    gradient = lhs.T @ (rhs - lhs @ w)
+    assert (weights > 0).all() and np.abs(gradient[points]).max() < 1e-8
+    assert np.linalg.norm(rhs - lhs @ w) <= np.linalg.norm(rhs) and (seed > 1 or np.linalg.norm(rhs - lhs @ w) < 1e-8)
+    best = min((float(np.linalg.norm(rhs - lhs[:, list(c)] @ f)) for k in range(9) for c in combinations(range(8), k) if (f := np.linalg.lstsq(lhs[:, list(c)], rhs, rcond=None)[0]).min(initial=1) >= 0))
+    assert np.linalg.norm(rhs - lhs @ w) == pytest.approx(best, abs=1e-7)
 
 
 def test_nnls_edges(spark):
@@ -133,3 +117,8 @@ def test_streamed_gram_counts_each_batch_once(spark, tmp_path):
     for row in streamed_gram(spark.read.parquet(str(tmp_path / "sums"))).collect():
         found[row["i"], row["j"]] = row["g"]
     assert np.allclose(found, a[0].T @ a[0])
+
+
+def test_no_energy(spark):
+    assert truncate.Energy(0.9).modes([0, 0], 2) == 1
+    assert truncate.energy_modes(spark.createDataFrame([(0, 0.0), (1, 0.0)], "mode long, sigma double"), 0.9).first()["k"] == 1
