@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanforge.llm import packing
+from spanforge.llm import mixing, packing
 from spanforge.llm.queries import oracle_sql, queries, word_tokenizer
 
 from .test_dedup import shingle_sets, words
@@ -173,6 +174,52 @@ def test_stages(spark):
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pieces)
 
 
+def tables(spark, path, rows, extra=()):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in extra:
+        df = df.withColumn(name, F.lit("clash"))
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows[::2]] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def test_stages_on_odd_rows(spark, rows, tmp_path):
+    """Null and repeated ids, whole rows that repeat, nulls in every column, clashing names: every different text that
+    passes the rules stays once, whatever its id."""
+    unlike = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    odd = [(1, unlike("a"), "en", "s", 1), (1, unlike("b"), "en", "s", 1), (1, unlike("b"), "en", "s", 1), (None, unlike("c"), None, None, None)]
+    odd += [(None, unlike("c"), None, None, None), (None, unlike("d") + " end", None, "t", None), (None, unlike("d") + " stop", "de", "t", 3), (None, None, None, None, None)]
+    docs = tables(spark, str(tmp_path), rows[:60] + odd, ["kept", "row", "__row", "class", "score", "text_sha256", "node", "n"])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    left = Counter(r["text"].split()[0] for r in docs.select("text").distinct().collect())
+    assert all(left[f"{k}word0"] == 1 for k in "abcd")
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert pieces.count() >= docs.count()
+
+
+def test_stages_on_an_empty_table(spark, rows, tmp_path):
+    docs = tables(spark, str(tmp_path), rows[:2]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+
+
+def test_mixture_comes_in_its_order(spark, docs):
+    """Rows lie by block and place within it, partition after partition."""
+    plan = mixing.Mixture(docs)
+    order = defaultdict(list)
+    for r in plan.places().collect():
+        order[r["doc_id"]].append((r["block"], r["place"]))
+    expected = sorted((p, d) for d, places in order.items() for p in places)
+    assert [r["doc_id"] for r in plan.realised().collect()] == [d for _, d in expected]
+
+
 def test_every_operator_is_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
