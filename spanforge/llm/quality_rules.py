@@ -9,7 +9,7 @@ it is well filled, and a small target does not turn against what it merely has n
 
 Everything is built-in expressions: counts are partial sums over at most ``buckets`` keys, the weights come back to the
 driver (``buckets`` numbers, whatever the input's size) and return as one array literal. What is joined with the target
-ids is the words' 32-bit hashes alone.
+ids is the words' buckets alone, two bytes each.
 
 Edge cases: null text is a text without words; a document without words scores 0; without any trusted document all
 scores are 0 and only the base rules decide; an empty table gives an empty result; repeated rows are judged alike, and
@@ -37,21 +37,24 @@ MILLION = 1_000_000
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 
 
+def _hashes(words: Column, buckets: int) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
+
+
 def _features(hashes: str, buckets: int) -> Column:
     """The buckets of all words and pairs of a column of words' hashes."""
     pairs = f"""zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, greatest(size({hashes}) - 1, 0)),
-                         (a, b) -> cast(pmod({PAIR} * a + b, {buckets}) as int))"""
-    return F.expr(f"concat(transform({hashes}, a -> cast(pmod(a, {buckets}) as int)), {pairs})")
-
-
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
+                         (a, b) -> cast(pmod(cast(a as bigint) * {PAIR} + b, {buckets}) as int))"""
+    return F.expr(f"concat({hashes}, {pairs})")
 
 
 def bucket_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[int]:
     """ln p_target - ln p_raw of each bucket, in millionths. ``target``: the trusted documents' ids in a column ``doc_id``."""
     trusted = target.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().withColumn("trusted", F.lit(1))
-    hashed = docs.select(F.col(doc_id).alias("__id"), _hashes(native_words(text)).alias("hashes")).join(trusted, "__id", "left")
+    # Two bytes a word go through the shuffle, by the same plan at every size.
+    short = "smallint" if buckets <= 1 << 16 else "int"
+    hashed = docs.select(F.col(doc_id).alias("__id"), F.transform(_hashes(native_words(text), buckets), lambda h: (h - buckets // 2).cast(short)).alias("hashes"))
+    hashed = hashed.join(trusted.hint("merge"), "__id", "left").withColumn("hashes", F.transform("hashes", lambda h: h.cast("int") + buckets // 2))
     counts = (
         hashed.select("trusted", F.explode_outer(_features("hashes", buckets)).alias("bucket"))  # explode would push a filter on it below the join
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.count("trusted").alias("n_target"))
@@ -98,7 +101,7 @@ def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def _judged(docs: DataFrame, weights: list[int], buckets: int, threshold: float) -> DataFrame:
     """Adds the base rules' columns, score and kept. ``docs`` has its text in a column ``text``."""
     literal = "cast(split('" + ",".join(map(str, weights)) + "', ',') as array<bigint>)"
-    df = docs.withColumn("__words", native_words("text")).withColumn("__hashes", _hashes(F.col("__words"))).withColumn("__features", _features("__hashes", buckets))
+    df = docs.withColumn("__words", native_words("text")).withColumn("__hashes", _hashes(F.col("__words"), buckets)).withColumn("__features", _features("__hashes", buckets))
     df = df.withColumn("__sum", F.expr(f"aggregate(__features, 0L, (s, b) -> s + get({literal}, b))")).withColumn("__n", F.size("__features").cast("long"))
     df = df.drop("__hashes", "__features")
     score = F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n") / F.lit(float(MILLION))).otherwise(0.0)
