@@ -31,10 +31,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Removes the tables that this process has written so far; for when no DataFrame built on them is needed any more."""
+def written_so_far() -> int:
+    """How many tables this process has written and not dropped; a mark for ``drop_written``."""
+    return len(_own)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Removes the tables that this process has written since a mark, but for the one that ``keep`` reads; for when no
+    DataFrame built on them is needed any more."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _own:
-        path = jvm.org.apache.hadoop.fs.Path(_own.pop())
+    kept = {p.rpartition("/table-")[2].partition("/")[0] for p in (keep.inputFiles() if keep is not None else ())}
+    mine, _own[since:] = _own[since:], []
+    for name in mine:
+        if name.rpartition("/table-")[2] in kept:
+            _own.append(name)
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n

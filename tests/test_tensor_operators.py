@@ -291,3 +291,15 @@ def test_hdf5_export(spark, tmp_path, monkeypatch):
             held = {k: source[k][:] for k in ("shift", "basis")}
     assert np.allclose(held["basis"], own.basis.numpy()) and held["shift"].shape == (2, 4)
     assert np.allclose(held["basis"] + held["shift"][:, :, None], t.numpy())
+
+
+def test_tables_since_a_mark_are_dropped(spark):
+    from spanforge.plans import storage
+
+    first = written(spark.range(3))
+    mark = storage.written_so_far()
+    gone, kept = written(spark.range(4)), written(spark.range(5))
+    assert storage.drop_written(spark, mark, keep=kept) == 1 and storage.written_so_far() == mark + 1
+    assert first.count() == 3 and kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        gone.count()
