@@ -70,8 +70,11 @@ def run_executable(
     return subprocess.run(command, cwd=directory, check=False).returncode
 
 
-def run_one(model: Model, parameters: dict[str, Any], prefix: str | None = None) -> dict[str, Any]:
-    """Flag, wall time and what else the model computes; a failure is a row, not the end of the job."""
+def run_one(model: Model, parameters: dict[str, Any], prefix: str | None = None, keep: bool | None = None) -> dict[str, Any]:
+    """Flag, wall time and what else the model computes; a failure is a row, not the end of the job.
+
+    ``keep``: whether the run's folder stays; by default if a place is given for it.
+    """
     folder = create_empty_dir(prefix)
     out: dict[str, Any] = {"flag": 1, "run_time": 0.0, "qoi": None, "error_estimate": None, "failure": None}
     began = time.time()
@@ -87,29 +90,35 @@ def run_one(model: Model, parameters: dict[str, Any], prefix: str | None = None)
     except Exception as error:  # the sample's own failure is reported in its row
         out |= {"run_time": time.time() - began, "failure": f"{type(error).__name__}: {error}"}
     finally:
-        if prefix is None:
+        if not (prefix is not None if keep is None else keep):
             shutil.rmtree(folder, ignore_errors=True)
     return out
 
 
-def run_samples(model: Model, samples: DataFrame, prefix: str | None = None) -> DataFrame:
-    """``samples``: sample_idx and parameters. One row a run; runs happen once, as the rows are written down."""
+def run_samples(model: Model, samples: DataFrame, prefix: str | None = None, tasks: int | None = None) -> DataFrame:
+    """``samples``: sample_idx and parameters. One row a run; runs happen once, as the rows are written down.
+
+    A run costs far more than its row, so rows are dealt out to ``tasks`` (four a core), however they lie in files.
+    """
+    samples = samples.repartition(tasks or 4 * samples.sparkSession.sparkContext.defaultParallelism, "sample_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                index = record.pop("sample_idx")
-                rows.append({"sample_idx": index, "params": {k: str(v) for k, v in record.items()}} | run_one(model, record, prefix))
-            yield pd.DataFrame(rows, columns=["sample_idx", "params", "flag", "run_time", "qoi", "error_estimate", "failure"])
+        # Folders that do not stay lie in one of the task's own, so that tasks do not wait for each other to make them.
+        with tempfile.TemporaryDirectory(prefix="runs-", ignore_cleanup_errors=True) as own:
+            for batch in batches:
+                rows = []
+                for record in batch.to_dict("records"):
+                    index = record.pop("sample_idx")
+                    out = run_one(model, record, prefix or own, prefix is not None)
+                    rows.append({"sample_idx": index, "params": {k: str(v) for k, v in record.items()}} | out)
+                yield pd.DataFrame(rows, columns=["sample_idx", "params", "flag", "run_time", "qoi", "error_estimate", "failure"])
 
     return written(samples.mapInPandas(run, RUN_SCHEMA))
 
 
 def run_sampling(spark: SparkSession, model: Model, space: ParameterSpace, n: int = 10, seed: int = 1, prefix: str | None = None, stats: str | None = None) -> DataFrame:
     """Monte Carlo samples run in parallel; ``stats``: where to append the run times as parquet."""
-    samples = monte_carlo_sample(spark, space, n, seed).repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "sample_idx")
-    runs = run_samples(model, samples, prefix)
+    runs = run_samples(model, monte_carlo_sample(spark, space, n, seed), prefix, min(n, 4 * spark.sparkContext.defaultParallelism))
     if stats is not None:
         runs.select("sample_idx", "flag", "run_time").write.mode("append").parquet(stats)
     return runs
