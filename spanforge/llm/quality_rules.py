@@ -68,11 +68,12 @@ def bucket_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", t
     return [math.floor(MILLION * (math.log((a + PSEUDO * share) / (r + PSEUDO)) - math.log(share)) + 0.5) for a, r in zip(aim, raw)]
 
 
-def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to all columns."""
+def base_rules(docs: DataFrame, text: str = "text", words: Column | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to all columns. ``words``: those of
+    the text, where they are at hand."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = (docs if "__words" in docs.columns else docs.withColumn("__words", native_words(text))).withColumn("__lines", lines)
+    df = docs.withColumn("__words", native_words(text) if words is None else words).withColumn("__lines", lines)
     df = (
         df.withColumn("n_words", F.size("__words").cast("long"))
         .withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
@@ -105,7 +106,7 @@ def _judged(docs: DataFrame, weights: list[int], buckets: int, threshold: float)
     df = df.withColumn("__sum", F.expr(f"aggregate(__features, 0L, (s, b) -> s + get({literal}, b))")).withColumn("__n", F.size("__features").cast("long"))
     df = df.drop("__hashes", "__features")
     score = F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n") / F.lit(float(MILLION))).otherwise(0.0)
-    df = base_rules(df).withColumn("score", score)
+    df = base_rules(df, words=F.col("__words")).withColumn("score", score)
     enough = F.col("__sum") >= F.lit(math.floor(threshold * MILLION + 0.5)) * F.col("__n")
     return df.withColumn("kept", ~F.col("base_failed") & enough).drop("__sum", "__n")
 
