@@ -382,20 +382,20 @@ def dictionary_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _composite(spark: SparkSession, sf_dir: str) -> CompositeSpace:
-    t = scaled_t(spark, sf_dir)
+    """Two variables with a mode a year, and two with one for even and one for odd years."""
 
-    def part(low: int, k: int) -> VectorSpace:
-        rows = t.rows.where(F.col("var").between(low, low + 1)).select((F.col("var") - low).alias("var"), "x", F.slice("v", 1, k).alias("v"))
-        own = from_rows(rows, Extents(2, 25, k))
+    def part(t: Tensor, low: int) -> VectorSpace:
+        rows = t.rows.where(F.col("var").between(low, low + 1)).select((F.col("var") - low).alias("var"), "x", "v")
+        own = from_rows(rows, Extents(2, 25, t.extents.n_s))
         return dictionary_space(own, shift.average_shift(own))
 
-    return CompositeSpace([part(0, 3), part(2, 2)])
+    return CompositeSpace([part(scaled_t(spark, sf_dir), 0), part(scaled_pair(spark, sf_dir), 2)])
 
 
 _COMPACT_SQL = f"""WITH {T_SQL},
-k AS (SELECT * FROM z WHERE s < CASE WHEN var < 2 THEN 3 ELSE 2 END),
+k AS (SELECT * FROM z WHERE var < 2 UNION ALL SELECT * FROM z2 WHERE var >= 2),
 m AS (SELECT var, x, s, val, avg(val) OVER (PARTITION BY var, x) AS shift FROM k),
-q AS (SELECT var, x, s + CASE WHEN var < 2 THEN 0 ELSE 3 END AS mode, val - shift AS val, shift FROM m)"""
+q AS (SELECT var, x, s + CASE WHEN var < 2 THEN 0 ELSE 7 END AS mode, val - shift AS val, shift FROM m)"""
 
 
 @query(_COMPACT_SQL + """ SELECT r.var, r.x, j.mode, round(coalesce(q.val, 0.0), 6) + 0.0 AS val
