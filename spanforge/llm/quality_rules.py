@@ -87,8 +87,9 @@ def base_rules(docs: DataFrame, text: str = "text", words: Column | None = None)
         )
     )
     # Sorted windows show which of them stand more than once; each such window covers up to the next one, 5 at most.
+    # sort_array compares by itself; array_sort would evaluate a lambda for each comparison.
     repeated = """
-        transform(array(array_sort(transform(__win, (h, i) -> struct(h, i)))), s ->
+        transform(array(sort_array(transform(__win, (h, i) -> struct(h, i)))), s ->
             sort_array(transform(filter(sequence(0, size(s) - 1), j ->
                 coalesce(get(s, j - 1).h = s[j].h, false) or coalesce(get(s, j + 1).h = s[j].h, false)), j -> s[j].i)))[0]"""
     covered = f"""
